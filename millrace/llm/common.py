@@ -49,6 +49,11 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All columns as one struct `_doc`, so that no name can clash, and the text beside it."""
+    return docs.select(F.struct("*").alias("_doc"), F.col(text).alias("text"))
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the rows that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

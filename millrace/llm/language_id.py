@@ -128,5 +128,5 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is found with a score of 0.5 at least; those without a letter go."""
     model = fit(docs.where(~common.held_out()))
-    found = predict(docs, model, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*docs.columns)
+    found = predict(common.packed(docs), model, keep=("_doc",))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select("_doc.*")

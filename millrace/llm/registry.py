@@ -1,11 +1,14 @@
 """The queries of the text operators, and SQL for those that SQL can express on whole tables."""
 
-from millrace.llm import byte_bpe, language_id, quality, token_counts
+from millrace.llm import byte_bpe, decontamination, language_id, quality, token_counts
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_language_id": language_id.op3_language_id,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_token_counts": token_counts.op6_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": decontamination.ORACLE_SQL,
+}
