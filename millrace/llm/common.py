@@ -54,6 +54,12 @@ def packed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.struct("*").alias("_doc"), F.col(text).alias("text"))
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow, with this package on the executors."""
+    session.ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the rows that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
@@ -148,6 +154,16 @@ def schema_of(df: DataFrame, names: list[str], more: str):
     return spark_schema, to_arrow_schema(spark_schema)
 
 
+def bitmap(values: DataFrame, column: str, bits: int, hashed: bool = False) -> np.ndarray:
+    """A filter of fixed size: one bit for each value of the hash of the column, modulo 2**bits."""
+    number = F.col(column) if hashed else F.xxhash64(column)
+    rows = values.select((number.bitwiseAND((1 << bits) - 1) + 1).alias("v")).select(F.bitmap_bucket_number("v").alias("b"), F.bitmap_bit_position("v").alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
+    out = np.zeros(((1 << bits) + 32767) // 32768 * 4096, np.uint8)
+    for r in rows:
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    return out
+
+
 def rank_file(path: str) -> dict[bytes, int]:
     import base64
 

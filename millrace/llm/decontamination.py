@@ -80,7 +80,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, text: str = "text", kee
                 lists = [structs, *(pa.array(x.astype(np.int32)) for x in (term[edge - 1], edge, gaps))]
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], names=["docs", "terms", "ends", "gaps"])
 
-    return common.staged(docs.select(*names, F.col(text)).mapInArrow(run, schema))
+    return common.staged(common.mapped(docs.select(*names, F.col(text)), run, schema))
 
 
 def term_counts(index: DataFrame, size: int) -> np.ndarray:
@@ -94,7 +94,7 @@ def term_counts(index: DataFrame, size: int) -> np.ndarray:
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], names=["term", "n"])
 
-    found = index.select("terms", "ends").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = common.mapped(index.select("terms", "ends"), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
     out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -216,7 +216,7 @@ def search(index: DataFrame, vocabulary: np.ndarray, queries: list[tuple[str, np
                 new = [pa.array(items, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(own + new, arrow)], schema=arrow)
 
-    return index.select("docs", "terms", "ends", "gaps").mapInArrow(run, out)
+    return common.mapped(index.select("docs", "terms", "ends", "gaps"), run, out)
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:

@@ -393,7 +393,7 @@ def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("pa
                 found = texts([x or "" for x in column.slice(lo, hi - lo).to_pylist()], model)
                 yield common.columns(batch, lo, hi, names, {"text": pa.array(found, pa.string())}, arrow)
 
-    return pages.select(*names, F.col(html)).mapInArrow(run, out)
+    return common.mapped(pages.select(*names, F.col(html)), run, out)
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,7 +195,7 @@ def find_pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
                 ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
                 yield common.columns(batch, lo, hi, names, {"found": pa.ListArray.from_arrays(ends, values)}, arrow)
 
-    return docs.select(*names, F.col(text)).mapInArrow(run, out)
+    return common.mapped(docs.select(*names, F.col(text)), run, out)
 
 
 def redact(text: str, spans: list[tuple[int, int, int, bool]]) -> str:

@@ -1,18 +1,21 @@
 """The queries of the text operators, and SQL for those that SQL can express on whole tables."""
 
-from millrace.llm import byte_bpe, decontamination, html_text, jaccard_join, language_id, pii, quality, token_counts
+from millrace.llm import byte_bpe, decontamination, html_text, jaccard_join, language_id, line_dedup, pii, quality, token_counts, vector_topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_language_id": language_id.op3_language_id,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op8_vector_topk": vector_topk.op8_vector_topk,
     "op9_pii": pii.op9_pii,
     "op10_html_text": html_text.op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontamination.ORACLE_SQL,
     "op7_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op8_vector_topk": vector_topk.ORACLE_SQL,
 }

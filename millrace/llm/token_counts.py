@@ -100,7 +100,7 @@ def token_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
                 lengths = counter.count([x or "" for x in column.slice(lo, hi - lo).to_pylist()])
                 yield common.columns(batch, lo, hi, names, {"b": offsets[lo + 1 : hi + 1] - offsets[lo:hi], "t": pa.array(lengths, pa.int64())}, arrow)
 
-    return docs.select(*names, F.col(text)).mapInArrow(run, out)
+    return common.mapped(docs.select(*names, F.col(text)), run, out)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
