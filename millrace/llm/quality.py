@@ -79,6 +79,16 @@ def ftrl(examples: list[tuple[int, np.ndarray, np.ndarray]], z: np.ndarray, n: n
     return z, n
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length as 32-bit numbers, compressed: most buckets of a state are 0."""
+    return pa.compress(np.concatenate(arrays).astype("<f4").tobytes(), "zstd", asbytes=True)
+
+
+def unpack(packed: bytes, count: int) -> np.ndarray:
+    size = count * ((1 << BITS) + 1)
+    return np.frombuffer(pa.decompress(packed, 4 * size, "zstd", asbytes=True), "<f4").astype(float).reshape(count, -1)
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "quality", doc_id: str = "doc_id", most: int = MOST, shards: int = SHARDS, rounds: int = ROUNDS) -> np.ndarray:
     """Weights by bucket; the last one is the bias. labelled: one row for each labelled text."""
     spark = labelled.sparkSession
@@ -103,20 +113,21 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", doc_id:
                 ], names=["id", "label", "buckets", "values"])
 
     schema = "id string, label int, buckets array<int>, `values` array<float>"
-    kept = common.staged(sample.mapInArrow(extract, schema).withColumn("shard", F.crc32(F.concat(F.lit("deal"), F.col("id"))) % shards))
+    kept = common.staged(common.mapped(sample, extract, schema).withColumn("shard", F.crc32(F.concat(F.lit("deal"), F.col("id"))) % shards))
     for turn in range(rounds):
-        state = spark.sparkContext.broadcast((z, n))
+        state = spark.sparkContext.broadcast(pack(z, n))
 
         def learn(pdf):
             import pandas as pd
 
             order = pdf.assign(h=pd.util.hash_array(pdf["id"].to_numpy(object)) ^ np.uint64(turn * 0x9E3779B9)).sort_values(["h", "id"])
-            got = ftrl([(a, np.asarray(b, np.int64), np.asarray(v, float)) for a, b, v in zip(order["label"], order["buckets"], order["values"])], *state.value)
-            return pd.DataFrame({"size": [len(pdf)], "z": [got[0].tobytes()], "n": [got[1].tobytes()]})
+            got = ftrl([(a, np.asarray(b, np.int64), np.asarray(v, float)) for a, b, v in zip(order["label"], order["buckets"], order["values"])], *unpack(state.value, 2))
+            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "size": [len(pdf)], "state": [pack(*got)]})
 
-        found = kept.groupBy("shard").applyInPandas(learn, "size long, z binary, n binary").orderBy("size", "z").collect()
-        share = np.array([r["size"] for r in found], float) / sum(r["size"] for r in found)
-        z, n = (sum(s * np.frombuffer(r[k]) for s, r in zip(share, found)) for k in ("z", "n"))
+        found = sorted(kept.groupBy("shard").applyInPandas(learn, "shard long, size long, state binary").collect())
+        state.destroy()
+        total = sum(r["size"] for r in found)
+        z, n = sum(r["size"] / total * unpack(r["state"], 2) for r in found)
     return weights(z, n)
 
 
@@ -135,7 +146,7 @@ def score(docs: DataFrame, w: np.ndarray, text: str = "text", keep: tuple[str, .
                 dot = np.bincount(owner, w[bucket] * value, hi - lo) + w[-1]
                 yield common.columns(batch, lo, hi, names, {"score": 1 / (1 + np.exp(-np.clip(dot, -35, 35)))}, arrow)
 
-    return docs.select(*names, F.col(text)).mapInArrow(run, out)
+    return common.mapped(docs.select(*names, F.col(text)), run, out)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
