@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from millrace.plans import reports
-
-Query = Callable[[SparkSession, str], DataFrame]
+from millrace.plans import aggregates, extensions, formats, joins, reports, scalars, selections, streams, windows
+from millrace.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (reports,):
-    QUERIES |= _module.QUERIES
-    ORACLE_SQL |= _module.ORACLE_SQL
+for _module in (reports, selections, joins, aggregates, windows, scalars, formats, extensions, streams):
+    QUERIES |= _module.R.queries
+    ORACLE_SQL |= _module.R.oracle
