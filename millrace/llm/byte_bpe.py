@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 #: Pieces, and token pairs, that a worker remembers; beyond it, it starts anew.
-CACHE = 250_000
+CACHE = 400_000
 #: Matches of a text that are encoded at a time.
 PART = 1 << 18
 
@@ -44,6 +45,13 @@ class Vocabulary:
         #: tokens that merges can make; others only stand for a whole piece
         self.made = {b: i for b, i in ranks.items() if len(b) == 1 or self.merge(b) == [i]}
         self.pairs: dict[int, bool] = {}
+        self.edge: dict[int, tuple[list[bytes], list[bytes], bool]] = {}
+        lengths: dict[bytes, set[int]] = {}
+        for b in self.made:
+            if len(b) > 1:
+                lengths.setdefault(b[-2:], {1}).add(len(b))
+        #: by the last two bytes: how long a token with that end can be, longest first
+        self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
 
     def merge(self, data: bytes) -> list[int]:
         """The definition: join the neighbours of lowest rank, leftmost first, until none is in the vocabulary."""
@@ -60,15 +68,79 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def together(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self.pairs.get(key)
+    def edges(self, token: int) -> tuple[list[bytes], list[bytes], bool]:
+        """What stands at the left and at the right edge of a token's bytes while the merges make it, and whether
+        ranks rise along both edges."""
+        known = self.edge.get(token)
         if known is None:
-            if len(self.pairs) > 2 * CACHE:
-                self.pairs = {}
-            known = self.pairs[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            data = self.bytes_of[token]
+            parts = [data[i : i + 1] for i in range(len(data))]
+            left, right = parts[:1], parts[-1:]
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                left += [parts[0]] * (parts[0] != left[-1])
+                right += [parts[-1]] * (parts[-1] != right[-1])
+            rise = all([*map(self.ranks.get, x[1:])] == sorted(map(self.ranks.get, x[1:])) for x in (left, right))
+            known = self.edge[token] = (left, right, rise)
         return known
 
+    def together(self, a: int, b: int) -> bool:
+        """Whether the merges of both tokens' bytes, one after the other, end with just these two.
+
+        Only a merge across the border could part them. While both are made from bytes, the border sees one
+        edge of each; a merge of the two comes first if its rank is below that of the next merge on the left, and
+        not above that of the next on the right.
+        """
+        left, right = self.edges(b), self.edges(a)
+        if not (left[2] and right[2]):
+            return self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        left, right, get, never = left[0], right[1], self.ranks.get, 1 << 60
+        i, j, last_i, last_j = 0, 0, len(right) - 1, len(left) - 1
+        while True:
+            across = get(right[i] + left[j], never)
+            next_i = get(right[i + 1]) if i < last_i else never
+            next_j = get(left[j + 1]) if j < last_j else never
+            if across < next_i and across <= next_j:
+                return False
+            if next_i <= next_j:
+                if next_i == never:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def extend(self, data: bytes, last: list[int]) -> None:
+        """Finds the last token of each prefix that `last` lacks, trying longer tokens first."""
+        made, tails, pairs = self.made.get, self.tails.get, self.pairs
+        for end in range(len(last), len(data) + 1):
+            for length in tails(data[end - 2 : end] if end > 1 else b"", (1,)):
+                if length > end:
+                    continue
+                token = made(data[end - length : end])
+                if token is None:
+                    continue
+                if length == end:
+                    break
+                key = last[end - length] << 32 | token
+                fits = pairs.get(key)
+                if fits is None:
+                    if len(pairs) > 4 * CACHE:
+                        pairs.clear()
+                    fits = pairs[key] = self.together(key >> 32, token)
+                if fits:
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
+
+    def read(self, data: bytes, last: list[int]) -> list[int]:
+        out, at = [], len(data)
+        while at:
+            out.append(last[at])
+            at -= len(self.bytes_of[out[-1]])
+        return out[::-1]
+
 
 class PrefixEncoding:
     """The encoding of one piece, kept as the last token of each of its prefixes."""
@@ -77,21 +149,9 @@ class PrefixEncoding:
         self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
-    def _next(self) -> None:
-        """Finds the last token of the prefix one byte longer than those known."""
-        made, together, last, data = self.vocabulary.made, self.vocabulary.together, self.last, self.data
-        end = len(last)
-        for length in range(min(end, self.vocabulary.longest), 0, -1):
-            token = made.get(data[end - length : end])
-            if token is not None and (length == end or together(last[end - length], token)):
-                last.append(token)
-                return
-        raise ValueError("the vocabulary lacks a byte")
-
     def append(self, more: bytes) -> "PrefixEncoding":
         self.data += more
-        while len(self.last) <= len(self.data):
-            self._next()
+        self.vocabulary.extend(self.data, self.last)
         return self
 
     def edit(self, start: int, end: int, new: bytes) -> int:
@@ -100,7 +160,7 @@ class PrefixEncoding:
         self.data = self.data[:start] + new + self.data[end:]
         same, done, fixed = 0, 0, start + len(new)
         while len(self.last) <= len(self.data):
-            self._next()
+            self.vocabulary.extend(self.data[: len(self.last)], self.last)
             done += 1
             at = len(self.last) - 1
             same = same + 1 if at > fixed + self.vocabulary.longest and self.last[at] == old[at - shift] else 0
@@ -110,13 +170,8 @@ class PrefixEncoding:
         return done
 
     def ids(self) -> list[int]:
-        out, at = [], len(self.data)
-        if self.data in self.vocabulary.ranks:
-            return [self.vocabulary.ranks[self.data]]
-        while at:
-            out.append(self.last[at])
-            at -= len(self.vocabulary.bytes_of[out[-1]])
-        return out[::-1]
+        whole = self.vocabulary.ranks.get(self.data)
+        return self.vocabulary.read(self.data, self.last) if whole is None else [whole]
 
 
 class Pieces(dict):
@@ -128,9 +183,14 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixEncoding(self.vocabulary, data).ids()
-        out = np.array(ids, "<u4").tobytes()
+        ids = self.vocabulary.ranks.get(data)
+        if ids is None:
+            last = [-1]
+            self.vocabulary.extend(data, last)
+            ids = self.vocabulary.read(data, last)
+            out = pack(f"<{len(ids)}I", *ids)
+        else:
+            out = pack("<I", ids)
         if len(data) <= 256:
             if len(self) > CACHE:
                 self.clear()
@@ -172,6 +232,11 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def id_lists(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None) -> DataFrame:
     """The columns `keep` with ids (array of int) of each row's text."""
     names, path, pattern = list(keep), common.tokenizer_path(ranks), pattern or default_pattern()
@@ -182,12 +247,10 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
         for batch in batches:
             column = batch.column(len(names))
             for lo, hi in common.steps(common.utf8(column)[1]):
-                ids = [np.frombuffer(c.encode(x or ""), "<i4") for x in column.slice(lo, hi - lo).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield common.columns(batch, lo, hi, names, {"ids": lists}, arrow)
+                ids = [c.encode(x or "") for x in column.slice(lo, hi - lo).to_pylist()]
+                yield common.columns(batch, lo, hi, names, {"ids": id_lists(ids)}, arrow)
 
-    return docs.select(*names, F.col(text)).mapInArrow(run, out)
+    return common.mapped(docs.select(*names, F.col(text)), run, out)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), ranks: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
@@ -201,13 +264,13 @@ def decode(encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_i
             texts = [c.decode(np.array(x or [], "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column(len(names)).to_pylist()]
             yield common.columns(batch, 0, batch.num_rows, names, {"text": pa.array(texts, pa.string())}, arrow)
 
-    return encoded.select(*names, F.col(ids)).mapInArrow(run, out)
+    return common.mapped(encoded.select(*names, F.col(ids)), run, out)
 
 
-def digests(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None) -> DataFrame:
-    """Encodes each text and decodes the ids: n_tokens, and the SHA-256 of the ids and of the decoded bytes."""
+def digests(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Encodes each text and decodes the ids: n_tokens, and the SHA-256 of the ids and of the decoded bytes; with_ids: and ids."""
     names, path, pattern = list(keep), common.tokenizer_path(ranks), pattern or default_pattern()
-    out, arrow = common.schema_of(docs, names, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out, arrow = common.schema_of(docs, names, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
     def sha(parts: Iterable[bytes]) -> pa.Array:
         return pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
@@ -219,9 +282,15 @@ def digests(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
             for lo, hi in common.steps(common.utf8(column)[1]):
                 ids = [c.encode(x or "") for x in column.slice(lo, hi - lo).to_pylist()]
                 more = {"n": np.array([len(x) // 4 for x in ids], np.int64), "i": sha(ids), "d": sha(map(c.decode, ids))}
-                yield common.columns(batch, lo, hi, names, more, arrow)
+                yield common.columns(batch, lo, hi, names, more | ({"ids": id_lists(ids)} if with_ids else {}), arrow)
+
+    return common.mapped(docs.select(*names, F.col(text)), run, out)
+
 
-    return docs.select(*names, F.col(text)).mapInArrow(run, out)
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's ids, their number, and the digests of the ids and of what they decode to."""
+    names = tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns)
+    return digests(docs, keep=names, with_ids=True)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
