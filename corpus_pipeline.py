@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import common, language_id
+from millrace.llm import byte_bpe, common, decontamination, jaccard_join, language_id, line_dedup
 
-STAGES = [("language ID", language_id.stage)]
+STAGES = [
+    ("language ID", language_id.stage),
+    ("line dedup", line_dedup.stage),
+    ("n-gram Jaccard join", jaccard_join.stage),
+    ("benchmark decontamination", decontamination.stage),
+    ("byte-level BPE encoding and decoding", byte_bpe.stage),
+]
 #: Learned models and digests have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
