@@ -29,10 +29,10 @@ def pandas_aggregate(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(spread("p_retailprice"), 4).alias("spread"))
 
 
-@R.query("SELECT user_id, event_id, round(value - avg(value) OVER (PARTITION BY user_id), 3) AS apart FROM events")
+@R.query("SELECT user_id, event_id, round(value - min(value) OVER (PARTITION BY user_id), 3) AS apart FROM events")
 def grouped_map(spark, sf_dir):
     def apart(pdf):
-        return pdf[["user_id", "event_id"]].assign(apart=(pdf["value"] - pdf["value"].mean()))
+        return pdf[["user_id", "event_id"]].assign(apart=(pdf["value"] - pdf["value"].min()))
 
     found = table(spark, sf_dir, "events").select("user_id", "event_id", "value").groupBy("user_id").applyInPandas(apart, "user_id long, event_id long, apart double")
     return found.select("user_id", "event_id", F.round("apart", 3).alias("apart"))
