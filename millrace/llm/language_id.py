@@ -60,9 +60,12 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray]:
     """The languages and the matrix of log probabilities, with the log priors as its last row."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    known = dict(rows.groupBy("lang").agg(F.count("*").alias("size")).collect())
+    if not known:
+        return [], np.zeros((BUCKETS + 1, 0))
+    size = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))[F.col("lang")]
     spread = F.crc32(F.concat(F.lit("fit"), F.coalesce(F.col("id").cast("string"), F.lit("")))) / F.lit(2.0**32)
-    sample = rows.join(sizes, "lang").where(spread * F.col("size") < per_lang).select("lang", "text")
+    sample = rows.where(spread * size < per_lang).select("lang", "text")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -78,9 +81,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             full = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full.astype(np.int32)), pa.array(n[full])], names=["lang", "bucket", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = common.mapped(sample, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toArrow()
-    known = dict(sizes.collect())
     names = sorted(set(found["lang"].to_pylist()))
     matrix = np.zeros((BUCKETS + 1, len(names)))
     if names:
@@ -115,7 +117,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 more = {"l": pa.array(["und" if p < 0 else langs[p] for p in pred], pa.string()), "s": score}
                 yield common.columns(batch, lo, hi, names, more, arrow)
 
-    return docs.select(*names, F.col(text)).mapInArrow(run, out)
+    return common.mapped(docs.select(*names, F.col(text)), run, out)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
