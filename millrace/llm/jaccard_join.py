@@ -31,8 +31,9 @@ from millrace.llm import common
 
 #: Counters of the sketch, and in how many pieces it is added up.
 SKETCH_BITS, PIECES = 21, 32
-#: Pivots of a region in the first round; each further round takes twice as many.
-PIVOTS = 2
+#: Pivots of a region that its points are dealt by, and are linked to in the first round; each further round links to
+#: four times as many.
+PIVOTS = 4
 #: Bits of the filter by which the texts of candidates are picked.
 FILTER_BITS = 24
 
@@ -97,7 +98,7 @@ def measure(docs: DataFrame, size: int, text: str, keep: list[str]) -> tuple[Dat
             parts = [pa.compress(x.astype(np.uint32).tobytes(), "zstd", asbytes=True) for x in sketch.reshape(PIECES, width)]
             yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], schema=arrow)
 
-    both = common.staged(docs.select(*keep, F.col(text)).mapInArrow(run, own))
+    both = common.staged(common.mapped(docs.select(*keep, F.col(text)), run, own))
 
     def add(pdf):
         import pandas as pd
@@ -114,7 +115,11 @@ def measure(docs: DataFrame, size: int, text: str, keep: list[str]) -> tuple[Dat
 
 
 def regions(docs: DataFrame, sketch: np.ndarray, size: int, percent: int, text: str) -> DataFrame:
-    """The first regions: a row (region, point, n) for each first shingle of each point."""
+    """The first regions: a row (region, point, n, most) for each first shingle of each point.
+
+    most is the largest partner that the row can stand for: with `at` shingles before it, the first shingle that a
+    pair shares leaves it n - at common ones at most.
+    """
     # logarithmic classes of commonness are enough to put the common ones last
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(np.log2(np.maximum(sketch, 1)) * 4, 255).astype(np.uint8))
 
@@ -132,36 +137,42 @@ def regions(docs: DataFrame, sketch: np.ndarray, size: int, percent: int, text:
                 first = np.where(new & (n > 0), n - (percent * n + 99) // 100 + 1, 0)
                 owner = np.repeat(np.arange(hi - lo), n)
                 order = np.lexsort((h, commonness[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))
-                take = order[np.arange(len(h)) - at[:-1][owner] < first[owner]]
-                yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(point[owner[take]]), pa.array(n[owner[take]].astype(np.int32))], names=["region", "point", "n"])
+                place = np.arange(len(h)) - at[:-1][owner]
+                use = place < first[owner]
+                take, own = order[use], owner[use]
+                most = (100 + percent) * (n[own] - place[use]) // percent - n[own]
+                yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(point[own]), pa.array(n[own].astype(np.int32)), pa.array(most.astype(np.int32))], names=["region", "point", "n", "most"])
 
-    return docs.select(F.col(text)).mapInArrow(run, "region long, point long, n int")
+    return common.mapped(docs.select(F.col(text)), run, "region long, point long, n int, most int")
 
 
 def ranked(rows: DataFrame, deal: int) -> DataFrame:
-    """The points of regions with two points at least, numbered in a fixed order that is random to their texts."""
-    order = W.partitionBy("region").orderBy("mixed", "point")
-    mixed = rows.withColumn("mixed", F.xxhash64("point", F.lit(deal)))
-    # copies of a point from different tasks stand side by side
-    once = mixed.withColumn("before", F.lag("point").over(order)).where("before is null or before <> point")
-    numbered = once.withColumn("rank", F.row_number().over(order)).withColumn("after", F.lead("point").over(order))
-    return numbered.where("rank > 1 or after is not null").select("region", "point", "n", "rank")
+    """The points of regions that may have a partner there, numbered: those of small components first, and then those
+    that share much with others.
 
-
-def bitmap(values: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A filter of fixed size: one bit for each value of the hash of the column, modulo 2**bits."""
-    hashed = (F.xxhash64(column).bitwiseAND((1 << bits) - 1) + 1).alias("v")
-    rows = values.select(hashed).select(F.bitmap_bucket_number("v").alias("b"), F.bitmap_bit_position("v").alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
-    out = np.zeros(((1 << bits) + 32767) // 32768 * 4096, np.uint8)
-    for r in rows:
-        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
-    return out
+    Of a pair the smaller set must allow for the larger one, so it allows for its own size: it is a full member. A row
+    stays if it is full and the next larger set is within what it allows for, or if some full, not larger set allows
+    for it and, should it not be full itself, some full set is small enough.
+    """
+    size = W.partitionBy("region").orderBy("n", "point")
+    before = size.rowsBetween(W.unboundedPreceding, -1)
+    # copies of a point from different tasks stand side by side
+    once = rows.withColumn("copy", F.lag("point").over(size)).where("copy is null or copy <> point")
+    full = F.col("most") >= F.col("n")
+    beside = once.withColumn("next", F.lead("n").over(size)).withColumn("allowed", F.max(F.when(full, F.col("most"))).over(before)).withColumn("least", F.min(F.when(full, F.col("n"))).over(before))
+    larger = full & (F.col("next") <= F.col("most"))
+    smaller = (F.col("allowed") >= F.col("n")) & (full | (F.col("least") <= F.col("most")))
+    some = beside.where(F.coalesce(larger, F.lit(False)) | F.coalesce(smaller, F.lit(False)))
+    # in the first round every point is a component of its own
+    some = some.withColumn("crowd", F.count("*").over(W.partitionBy("region", "component"))) if deal else some.withColumns({"component": F.col("point"), "crowd": F.lit(1)})
+    order = W.partitionBy("region").orderBy("crowd", (F.col("n") - F.col("most")) / F.col("n"), F.xxhash64("point", F.lit(deal)), "point")
+    return some.select("region", "point", "n", "most", "component", F.row_number().over(order).alias("rank"))
 
 
 def sets_of(docs: DataFrame, measured: DataFrame, candidates: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
     """(point, shingles) of the candidates, each from one document."""
     chosen = measured.join(candidates, "point", "left_semi").groupBy("point").agg(F.min(doc_id).alias("id"))
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(chosen, "id", FILTER_BITS))
+    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(chosen, "id", FILTER_BITS))
 
     def run(batches):
         bits_, seen = np.unpackbits(bits.value, bitorder="little"), set()
@@ -176,7 +187,7 @@ def sets_of(docs: DataFrame, measured: DataFrame, candidates: DataFrame, size: i
                 values = np.concatenate([h[at[i] : at[i + 1]] for i in use]).view(np.int64) if use else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(point[use]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["point", "shingles"])
 
-    found = docs.select(F.xxhash64(doc_id), F.col(text)).mapInArrow(run, "point long, shingles array<long>")
+    found = common.mapped(docs.select(F.xxhash64(doc_id), F.col(text)), run, "point long, shingles array<long>")
     return found.join(candidates, "point", "left_semi").groupBy("point").agg(F.first("shingles").alias("shingles"))
 
 
@@ -205,9 +216,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("point"), F.col("label").alias("component"))
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(point, component) after further links: only the components that they touch are joined anew."""
+    named = links.select(F.col("point").alias("x"), F.col("pivot").alias("y"))
+    for own, name in (("x", "a"), ("y", "b")):
+        named = named.join(labels.select(F.col("point").alias(own), F.col("component").alias(name)), own, "left").withColumn(name, F.coalesce(name, own))
+    joints = common.staged(named.where("a <> b").select(F.col("a").alias("point"), F.col("b").alias("pivot")).distinct())
+    if joints.isEmpty():
+        return labels
+    new = components(joints)
+    moved = labels.join(new.select(F.col("point").alias("component"), F.col("component").alias("to")), "component", "left").select("point", F.coalesce("to", "component").alias("component"))
+    return common.staged(moved.union(new.join(labels, "point", "left_anti")))
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest id that is reachable over links, and n_links: to other texts' sets
-    that were found on the way (those within one component need not all be looked at)."""
+    """doc_id, n_shingles and component_id, the smallest id that is reachable over links.
+
+    Links within a component are looked at only as far as they are needed to tell components apart.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     measured, sketch = measure(docs, size, "text", ["id"])
@@ -216,28 +242,30 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     candidates = common.staged(members.select("point").distinct())
     sets = common.staged(sets_of(docs, measured, candidates, size, "text", "id"))
     known: DataFrame | None = None
+    labels = spark.createDataFrame([], "point long, component long")
     pivots, deal = PIVOTS, 0
+    like = lambda least: F.least("n", "m") * 100 >= F.greatest("n", "m") * least  # noqa: E731  sizes that leave a distance open
     while not members.isEmpty():
-        chosen = members.where(F.col("rank") <= pivots).select("region", F.col("point").alias("pivot"), F.col("n").alias("m"), F.col("rank").alias("first"))
-        pairs = members.join(chosen, "region").where("rank > first")
-        close = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-        todo = pairs.where(close).select("point", "pivot").distinct()
+        chosen = members.where(F.col("rank") <= pivots).select("region", F.col("point").alias("pivot"), F.col("n").alias("m"), F.col("most").alias("allows"), F.col("component").alias("other"), F.col("rank").alias("first"))
+        pairs = members.join(chosen, "region").where(like(percent) & (F.col("component") != F.col("other")) & (F.col("rank") > F.col("first")) & (F.col("m") <= F.col("most")) & (F.col("n") <= F.col("allows")))
+        todo = pairs.select("point", "pivot").distinct()
         if known is not None:
             todo = todo.join(known, ["point", "pivot"], "left_anti")
         found = common.staged(distances(todo, sets))
-        known = found if known is None else common.staged(known.union(found))
-        labels = components(known.where(F.col("same") * 100 >= F.col("all") * percent))
+        known = found if known is None else known.union(found)
+        labels = merged(labels, found.where(F.col("same") * 100 >= F.col("all") * percent))
         # what is left: points that were no pivots, in regions that still hold two components
-        left = members.where(F.col("rank") > pivots).join(labels, "point", "left").withColumn("component", F.coalesce("component", "point"))
+        left = members.drop("component").where(F.col("rank") > pivots).join(labels, "point", "left").withColumn("component", F.coalesce("component", "point"))
         split = left.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
         left = common.staged(left.join(split, "region", "left_semi"))
         if left.isEmpty():
             break
-        members = common.staged(ranked(voronoi(left, chosen, known, r), deal + 1))
-        pivots, deal = 2 * pivots, deal + 1
-    links = known.where(F.col("same") * 100 >= F.col("all") * percent) if known is not None else None
-    if links is None:
-        return measured.select(F.col("id").alias(doc_id), "n_shingles", F.col("id").alias("component_id"))
+        # windows reach to 3r, where no link is: distances to the centres that the rest is dealt by
+        centres = chosen.where(F.col("first") <= PIVOTS)
+        beside = left.join(centres, "region").where(like(100 - 3 * (100 - percent))).select("point", "pivot").distinct()
+        known = known.union(common.staged(distances(beside.join(known, ["point", "pivot"], "left_anti"), sets)))
+        members = common.staged(ranked(voronoi(left, centres, known, r), deal + 1))
+        pivots, deal = 4 * pivots, deal + 1
     ids = measured.where("n_shingles > 0").groupBy("point").agg(F.min("id").alias("id"))
     classes = ids.join(labels, "point", "left").withColumn("component", F.coalesce("component", "point"))
     smallest = classes.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -248,22 +276,22 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 
 def voronoi(left: DataFrame, chosen: DataFrame, known: DataFrame, r: float) -> DataFrame:
-    """The regions of the next round: (region, point, n)."""
+    """The regions of the next round: (region, point, n, most, component)."""
     slack = 1e-9
     far = known.select("point", "pivot", (1 - F.col("same") / F.col("all")).alias("d"))
     near = left.join(chosen.select("region", "pivot"), "region").join(far, ["point", "pivot"], "left")
-    near = near.withColumn("d", F.coalesce("d", F.lit(1.0)))  # of unlike size: further than r, and in no ball
-    home = near.groupBy("region", "point", "n", "component").agg(F.min(F.struct("d", "pivot")).alias("best"), F.collect_list(F.struct("d", "pivot")).alias("every"))
+    near = near.withColumn("d", F.coalesce("d", F.lit(1.0)))  # of very unlike size: further than 3r
+    home = near.groupBy("region", "point", "n", "most", "component").agg(F.min(F.struct("d", "pivot")).alias("best"), F.collect_list(F.struct("d", "pivot")).alias("every"))
     d, own = F.col("best.d"), F.when(F.col("best.d") <= 2 * r + slack, F.col("best.pivot"))
     open_ = F.filter("every", lambda x: x["d"] <= F.least(F.when(own.isNotNull(), d + 2 * r).otherwise(F.lit(3 * r)), F.lit(3 * r)) + slack)
     homes = F.array_compact(F.array(own))
     rest = F.when(own.isNull() | (d > r - slack), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>"))
     to = F.array_distinct(F.concat(homes, F.transform(open_, lambda x: x["pivot"]), rest))
-    dealt = home.select("region", "point", "n", "component", F.explode(to).alias("to"), d.alias("d"))
-    dealt = dealt.select(F.xxhash64("region", "to").alias("region"), "point", "n", "component")
-    mixed = dealt.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("point")).alias("print"), F.sum(F.xxhash64("point", F.lit(1)).cast("decimal(38,0)")).alias("total")).where("lo <> hi")
+    dealt = home.select("region", "point", "n", "most", "component", F.explode(to).alias("to"))
+    dealt = dealt.select(F.xxhash64("region", "to").alias("region"), "point", "n", "most", "component")
+    mixed = dealt.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("point", "most")).alias("print"), F.sum(F.xxhash64("point", "most", F.lit(1)).cast("decimal(38,0)")).alias("total")).where("lo <> hi")
     one = mixed.groupBy("size", "print", "total").agg(F.min("region").alias("region")).select("region")  # equal regions once
-    return dealt.join(one, "region", "left_semi").select("region", "point", "n")
+    return dealt.join(one, "region", "left_semi").select("region", "point", "n", "most", "component")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

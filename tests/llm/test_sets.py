@@ -60,6 +60,23 @@ def test_jaccard_components(spark, seed):
     assert len({c for _, _, c in got}) < len(got) - 20
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_chains_of_growing_texts(spark, seed):
+    """Each text links with those a little longer; pivots of unlike size must not part them."""
+    rng = random.Random(seed)
+    docs = []
+    for start in range(3):
+        core = [f"c{i}" for i in range(40)] + [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        size = 50
+        while size < len(core):
+            docs.append((len(docs), " ".join(core[:size])))
+            size = int(size * rng.choice([1.03, 1.1, 1.16, 1.2])) + 1
+    rng.shuffle(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame).collect())
+    assert got == components(docs)
+
+
 def test_jaccard_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_components(none).count() == 0
