@@ -22,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import common
@@ -106,8 +107,9 @@ def occurrences(docs: DataFrame, least: int, edits: int) -> DataFrame:
 def meeting(keyed: DataFrame) -> DataFrame:
     """The lines (line, keys) that share a key with another line: (line)."""
     each = keyed.select("line", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("key")
-    return each.join(shared, "key", "left_semi").select("line").distinct()
+    order = W.partitionBy("key").orderBy("line")
+    beside = each.withColumn("before", F.lag("line").over(order)).withColumn("after", F.lead("line").over(order))
+    return beside.where("before <> line or after <> line").select("line").distinct()
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -202,8 +204,9 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
     packed = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     drops = dropped_lines(packed.select("id", "row", "text"), least, edits)
     drops = drops.select(F.col("id").alias("of"), F.col("row").alias("its"), "numbers")
-    joined = packed.join(drops.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("its")), "left")
-    rows = joined.select("_doc", "text", "numbers")
+    # the text goes through the shuffle once, inside _doc
+    joined = packed.drop("text").join(drops.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("its")), "left")
+    rows = joined.select("_doc", F.col("_doc").getField(text).alias("text"), "numbers")
     out, arrow = common.schema_of(rows, ["_doc"], "n_lines long, n_dropped long, text string")
 
     def run(batches):
