@@ -65,6 +65,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def bucketed(df: DataFrame, by: str) -> DataFrame:
+    """df written to the shared folder in buckets of a column and read again: joins by it need no shuffle of this side."""
+    spark = df.sparkSession
+    path, name = shared_dir(spark), f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).sortBy(by).format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def parallel(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

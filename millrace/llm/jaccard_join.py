@@ -192,7 +192,10 @@ def sets_of(docs: DataFrame, measured: DataFrame, candidates: DataFrame, size: i
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (point, pivot) with the size of the union and of the intersection."""
+    """pairs (point, pivot) with the size of the union and of the intersection.
+
+    sets is dealt by point already: only the pairs are shuffled, and then the pairs with their points' sets.
+    """
     one = pairs.join(sets.withColumnRenamed("shingles", "a"), "point")
     both = one.join(sets.select(F.col("point").alias("pivot"), F.col("shingles").alias("b")), "pivot")
     same = F.size(F.array_intersect("a", "b"))
@@ -240,7 +243,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     r = (100 - percent) / 100
     members = common.staged(ranked(regions(docs, sketch, size, percent, "text"), 0))
     candidates = common.staged(members.select("point").distinct())
-    sets = common.staged(sets_of(docs, measured, candidates, size, "text", "id"))
+    sets = common.bucketed(sets_of(docs, measured, candidates, size, "text", "id"), "point")
     known: DataFrame | None = None
     labels = spark.createDataFrame([], "point long, component long")
     pivots, deal = PIVOTS, 0
