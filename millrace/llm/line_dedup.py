@@ -1,9 +1,11 @@
 """Line dedup: lines that an earlier line equals up to one edit are taken out, by a deletion-neighbourhood join.
 
-A line of `least` characters or more is dropped if any line before it, in any document, is within edit distance
-`edits` (0 or 1; insertions, deletions and substitutions of code points). Before means: by document id, null last,
-then by line number. Shorter lines always stay. The rule looks at all earlier lines, kept or not, so the result
-doesn't depend on any order of work.
+A line of `least` characters or more is dropped if any such line before it, in any document, is within edit distance
+`edits` (0 or 1; insertions, deletions and substitutions of code points). A line of `exact` characters or more is
+dropped if a line before it is equal; the query and the stage take 1, so that copies of all lines but empty ones go,
+while one edit, which in a short line may be all that it says, counts from `least` on. Before means: by document id,
+null last, then by line number. Shorter lines always stay. The rule looks at all earlier lines, kept or not, so the
+result doesn't depend on any order of work.
 
 Equal lines meet by hash. For the others, two rounds of coarse neighbourhoods find the lines that can have a
 neighbour at all: with a line cut into blocks, two lines one edit apart agree in everything but one block, so each
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-#: Lines with fewer characters stay.
+#: Lines with fewer characters have no neighbours at one edit.
 LEAST = 20
+#: From so many characters on, the query and the stage drop equal lines: all but empty ones.
+EXACT = 1
 #: Blocks of the two coarse rounds.
 BLOCKS = (2, 16)
 #: Bits of the filter by which the texts of candidate lines are picked.
@@ -85,21 +89,24 @@ class Lines:
         return np.concatenate([line, line, np.arange(n)]), role, np.concatenate([fixed, free, own]).view(np.int64)
 
 
-def lists(keys: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+def lists(keys: np.ndarray, use: np.ndarray | None = None) -> pa.Array:
+    """The keys of each line; empty where use is False."""
+    use = np.ones(len(keys), bool) if use is None else use
+    ends = np.cumsum(np.r_[0, use * keys.shape[1]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[use].ravel()))
 
 
-def occurrences(docs: DataFrame, least: int, edits: int) -> DataFrame:
-    """A row for each line: hash, document (id, row), number, and its keys of the first coarse round."""
+def occurrences(docs: DataFrame, least: int, edits: int, exact: int) -> DataFrame:
+    """A row for each line: hash, document (id, row), number, and its keys of the first coarse round, if it is not too short."""
 
     def run(batches):
         for batch in batches:
             column = batch.column(2)
             for lo, hi in common.steps(common.utf8(column)[1], 1 << 19):
-                x = Lines(column.slice(lo, hi - lo).to_pylist(), least)
+                x = Lines(column.slice(lo, hi - lo).to_pylist(), min(least, exact))
                 keys = x.block_keys(BLOCKS[0]) if edits else np.zeros((len(x.row), 0), np.int64)
                 take = pa.array(x.row + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(x.hash), batch.column(0).take(take), batch.column(1).take(take), pa.array(x.number.astype(np.int32)), lists(keys)], names=["line", "id", "row", "number", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.hash), batch.column(0).take(take), batch.column(1).take(take), pa.array(x.number.astype(np.int32)), lists(keys, x.size >= least)], names=["line", "id", "row", "number", "keys"])
 
     return common.mapped(docs.select("id", "row", "text"), run, f"line long, id {docs.schema['id'].dataType.simpleString()}, row long, number int, keys array<long>")
 
@@ -182,11 +189,11 @@ def near_lines(docs: DataFrame, first: DataFrame, least: int) -> DataFrame:
     return both.where(F.levenshtein("text", "near", 1).between(0, 1)).select("line").distinct()
 
 
-def dropped_lines(docs: DataFrame, least: int = LEAST, edits: int = 1) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: int = LEAST, edits: int = 1, exact: int | None = None) -> DataFrame:
     """(id, row, numbers): the numbers of the lines to take out of documents (id, row, text)."""
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
-    found = common.staged(occurrences(docs, least, edits))
+    found = common.staged(occurrences(docs, least, edits, least if exact is None else exact))
     at = F.struct(F.col("id").isNull().alias("last"), "id", "number")
     first = common.staged(found.groupBy("line").agg(F.min(at).alias("at"), F.first("keys").alias("keys"), F.count("*").alias("n")))
     if edits:
@@ -199,10 +206,13 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, edits: int = 1) -> DataFr
     return out.groupBy("id", "row").agg(F.collect_list("number").alias("numbers"))
 
 
-def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, edits: int = 1) -> DataFrame:
-    """All columns of docs as the struct _doc, with n_lines, n_dropped and text, what is left of each document."""
+def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, edits: int = 1, exact: int | None = None) -> DataFrame:
+    """All columns of docs as the struct _doc, with n_lines, n_dropped and text, what is left of each document.
+
+    exact: characters from which on equal lines are dropped; the same as least, if not given.
+    """
     packed = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    drops = dropped_lines(packed.select("id", "row", "text"), least, edits)
+    drops = dropped_lines(packed.select("id", "row", "text"), least, edits, exact)
     drops = drops.select(F.col("id").alias("of"), F.col("row").alias("its"), "numbers")
     # the text goes through the shuffle once, inside _doc
     joined = packed.drop("text").join(drops.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("its")), "left")
@@ -222,13 +232,13 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that an earlier line equals up to one edit."""
+    """Every document without the lines that an earlier line equals, or if they are not short, equals up to one edit."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup(docs).select("_doc.doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup(docs, exact=EXACT).select("_doc.doc_id", "n_lines", "n_dropped", "text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without repeated lines; those of which nothing is left go."""
-    found = line_dedup(docs).where("n_dropped = 0 or trim(text) <> ''")
+    found = line_dedup(docs, exact=EXACT).where("n_dropped = 0 or trim(text) <> ''")
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("_doc.n_chars"))}
     return found.select(*(new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns))

@@ -137,6 +137,32 @@ def test_line_dedup_of_nothing_and_stage(spark):
     assert got == [(1, line, 33), (2, line.upper(), 33)]
 
 
+def dedup_of_all_lengths(docs, least):
+    """Copies of lines of every length but 0 go; one edit counts from `least` characters on."""
+    every = [((d is None, d or 0), i, x) for d, t in docs if t is not None for i, x in enumerate(t.split("\n")) if x]
+    for d, t in docs:
+        own, lines = (d is None, d or 0), [] if t is None else t.split("\n")
+        near = lambda x, y: x == y or (min(len(x), len(y)) >= least and within_one(x, y))
+        left = [x for i, x in enumerate(lines) if not x or not any((k, j) < (own, i) and near(x, y) for k, j, y in every)]
+        yield d, len(lines), len(lines) - len(left), None if t is None else "\n".join(left)
+
+
+def test_line_dedup_drops_short_copies_in_query_and_stage(spark, tmp_path):
+    rng = random.Random(4)
+    base = ["And ornd.", "Les Rech.", "x", " ", "", "Page 1", "Page 2", "é" * 19, "é" * 20, "é" * 21, "a line that is long enough", "a line that is long enouGh"]
+    docs = [(i, "\n".join(rng.choice(base) for _ in range(rng.randint(1, 5)))) for i in range(40)]
+    docs += [(None, "And ornd.\nonly here"), (500, None), (501, ""), (502, "Menu\nMenu")]
+    rows = spark.createDataFrame([(*d, len(d[1] or "")) for d in docs], "doc_id long, text string, n_chars long")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted(dedup_of_all_lengths(docs, 20), key=str)
+    got = [tuple(r) for r in line_dedup.op4_line_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == want and (502, 2, 1, "Menu") in got
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.stage(spark, rows, SF).collect()}
+    left = {d: t for d, _, n, t in want}
+    assert all(t == left[d] for d, t in kept.items()) and kept[502] == "Menu"
+    assert {d for d, _, n, t in want if not n or t.strip(" ")} == kept.keys()
+
+
 def brute_topk(rows, k):
     whole = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     width = max((len(v) for _, v in whole), default=0)
