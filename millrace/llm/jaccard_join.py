@@ -36,6 +36,8 @@ SKETCH_BITS, PIECES = 21, 32
 PIVOTS = 4
 #: Bits of the filter by which the texts of candidates are picked.
 FILTER_BITS = 24
+#: Words of a shingle and percent of a link in the pipeline's stage; the query has its own.
+SIZE, PERCENT = 5, 80
 
 _WORD = np.ones(256, np.uint8)
 _WORD[[32, 9, 10, 11, 12, 13]] = 0
@@ -303,8 +305,9 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id. Rows with a null id stay."""
-    found = jaccard_components(docs)
+    """One document of each group, under links of 0.8 or more on 5-word shingles: that with the smallest id. Rows with a
+    null id stay."""
+    found = jaccard_components(docs, size=SIZE, percent=PERCENT)
     keep = common.staged(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")))
     kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     if not keep.where("_rows > 1").isEmpty():

@@ -90,6 +90,22 @@ def test_jaccard_stage_keeps_one_of_each_group(spark):
     assert kept.columns == ["doc_id", "text", "lang"] and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
 
 
+def test_jaccard_stage_links_five_words_at_four_fifths(spark):
+    """With pairs that the stage links and the query does not."""
+    word = iter(f"w{i}" for i in range(10**6))
+    docs = []
+    for n, cuts in ((51, 1), (60, 1), (120, 2), (30, 3), (40, 1)):
+        w = [next(word) for _ in range(n)]
+        x = list(w)
+        for k in range(cuts):
+            x[(k + 1) * n // (cuts + 1)] = next(word)
+        docs += [(len(docs), " ".join(w)), (len(docs) + 1, " ".join(x))]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    at = {k: {d for d, _, c in components(docs, *k) if d == c} for k in ((4, 85), (5, 80))}
+    assert at[5, 80] != at[4, 85]
+    assert {r["doc_id"] for r in jaccard_join.stage(spark, rows, SF).collect()} == at[5, 80]
+
+
 def within_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
