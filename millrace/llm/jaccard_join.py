@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.llm import common
 
@@ -78,7 +80,10 @@ def points(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def measure(docs: DataFrame, size: int, text: str, keep: list[str]) -> tuple[DataFrame, np.ndarray]:
     """The columns `keep` with n_shingles and point of each row, and the sketch of how common shingles are."""
-    own, arrow = common.schema_of(docs, keep, "n_shingles long, point long, piece int, counts binary")
+    own, _ = common.schema_of(docs, keep, "n_shingles long, point long, piece int, counts binary")
+    # rows of the sketch have null in all other columns
+    own = T.StructType([T.StructField(f.name, f.dataType) for f in own])
+    arrow = to_arrow_schema(own)
     width = (1 << SKETCH_BITS) // PIECES
 
     def run(batches):
@@ -234,14 +239,14 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return common.staged(moved.union(new.join(labels, "point", "left_anti")))
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest id that is reachable over links.
+def linked_points(docs: DataFrame, size: int, percent: int, keep: tuple[str, ...] = ("id",)) -> tuple[DataFrame, DataFrame]:
+    """Of documents with id and text: the columns `keep` with n_shingles and point of each row, and (point, component)
+    of the points with a link.
 
     Links within a component are looked at only as far as they are needed to tell components apart.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    measured, sketch = measure(docs, size, "text", ["id"])
+    measured, sketch = measure(docs, size, "text", list(keep))
     r = (100 - percent) / 100
     members = common.staged(ranked(regions(docs, sketch, size, percent, "text"), 0))
     candidates = common.staged(members.select("point").distinct())
@@ -271,6 +276,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         known = known.union(common.staged(distances(beside.join(known, ["point", "pivot"], "left_anti"), sets)))
         members = common.staged(ranked(voronoi(left, centres, known, r), deal + 1))
         pivots, deal = 4 * pivots, deal + 1
+    return measured, labels
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest id that is reachable over links."""
+    measured, labels = linked_points(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), size, percent)
     ids = measured.where("n_shingles > 0").groupBy("point").agg(F.min("id").alias("id"))
     classes = ids.join(labels, "point", "left").withColumn("component", F.coalesce("component", "point"))
     smallest = classes.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -305,14 +316,25 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, under links of 0.8 or more on 5-word shingles: that with the smallest id. Rows with a
-    null id stay."""
-    found = jaccard_components(docs, size=SIZE, percent=PERCENT)
-    keep = common.staged(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    if not keep.where("_rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns)
+    """One row of each group, under links of 0.8 or more on 5-word shingles: that with the smallest id, and of those the
+    one with the smallest hash of its text. Rows with a null id stay, and so do texts that link with nothing.
+
+    A row is known by its id and the hash of its text; of rows that agree in both the one with the smallest columns stays.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), F.col("text").alias("text"))
+    measured, labels = linked_points(rows, SIZE, PERCENT, ("id", "key"))
+    alike = measured.where("id is not null and n_shingles > 0").groupBy("point", "id", "key").agg(F.count("*").alias("rows"))
+    of_point = alike.groupBy("point").agg(F.min(F.struct("id", "key", "rows")).alias("first"))
+    of_group = of_point.join(labels, "point", "left").groupBy(F.coalesce("component", "point").alias("component")).agg(F.min("first").alias("first"))
+    firsts = common.staged(of_group.select("first.*"))
+    wordless = ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    free = F.col("id").isNull() | wordless
+    kept = rows.where(~free).drop("text").join(firsts.drop("rows"), ["id", "key"], "left_semi")
+    many = firsts.where("rows > 1").drop("rows")
+    if not many.isEmpty():
+        once = kept.join(many, ["id", "key"], "left_semi").groupBy("id", "key").agg(F.min("_doc").alias("_doc"))
+        kept = kept.join(many, ["id", "key"], "left_anti").unionByName(once)
+    return kept.select("_doc.*").unionByName(rows.where(free).select("_doc.*"))
 
 
 ORACLE_SQL = """

@@ -106,6 +106,21 @@ def test_jaccard_stage_links_five_words_at_four_fifths(spark):
     assert {r["doc_id"] for r in jaccard_join.stage(spark, rows, SF).collect()} == at[5, 80]
 
 
+def test_jaccard_stage_decides_by_row(spark):
+    """Null ids and one id with two texts, together with a repeated row."""
+    p, q, r, blank = "a b c d e f", "g h i j k l", "m n o p q r", " \n"
+    docs = [(1, p, "en"), (1, p, "en"), (2, p, "en"), (2, q, "en"), (2, r, "de")]  # a copy and two clean texts under one id
+    docs += [(3, q, "en"), (4, q.upper(), None), (None, p, "n1"), (None, p, "n1"), (None, "s t u v w", "n2"), (None, None, "n3")]
+    docs += [(7, "y z", "en"), (7, "y z", "de"), (8, "only null beside it", "en"), (None, "only null beside it", "n4")]
+    docs += [(9, None, "e1"), (9, None, "e1"), (9, "", "e2"), (9, blank, "e3"), (9, "\x1c", "e4"), (9, "\x1c", "e4")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    kept = jaccard_join.stage(spark, rows, SF)
+    assert kept.columns == rows.columns
+    want = [(1, p, "en"), (2, q, "en"), (2, r, "de"), (7, "y z", "de"), (8, "only null beside it", "en"), (9, "\x1c", "e4")]
+    want += [(9, None, "e1"), (9, None, "e1"), (9, "", "e2"), (9, blank, "e3"), *(d for d in docs if d[0] is None)]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
 def within_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
