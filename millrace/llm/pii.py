@@ -2,9 +2,10 @@
 
 Plain patterns give the base spans. Then transducers rewrite a text that shows signs of a disguise: letters and
 digits that only look Latin become Latin, invisible characters go, "(at)" and "[dot]" and their like become @ and
-dots, and runs of spelled digits become digits. Each character of the rewritten text remembers which stretch of the
+dots, and so do plain words in addresses; runs of numbers with a spelled digit or a worded dot become digits. Each character of the rewritten text remembers which stretch of the
 source it stands for, the same patterns run again, and what they find is mapped back to the source. A span found so
-is added unless a base span of its kind covers it; base spans always stay.
+is added unless a base span of its kind covers it, or it only adds a number word of the text around to one; base spans
+always stay.
 
 Offsets count code points, ends are exclusive. Null counts as empty: no spans. Rows are treated one by one, so
 repeated ids stay; other columns are not read. An empty table gives an empty result.
@@ -48,18 +49,31 @@ SPELLED = {w: str(i) for words in (
     "zéro un deux trois quatre cinq six sept huit neuf",
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 ) for i, w in enumerate(words.split())}
-#: Top-level domains that end an address spelled in plain words.
+#: Top-level domains that end any address spelled in plain words.
 TOP = "com org net edu gov mil info biz int io ai app dev me tv us uk de fr es it eu ch at nl be pl pt se no fi dk ru cn jp in br mx ar ca au nz ie za".split()
-#: Spelled digits that a run must have.
+#: Words that no domain begins with; after "at" they make "dot" a plain word, unless a domain of TOP follows.
+NO_DOMAIN = "the a an this that these those each every any some my your his her its our their it him us me you them which what der die das dem den le la les el los las".split()
+#: Spelled digits that extend a base span in any case.
 LEAST = 4
 
 _ODD = re.compile("[" + "".join(map(re.escape, [*LOOKALIKES, *INVISIBLE])) + "]")
 _OPEN, _CLOSE = r"[\x20\t]*[\[({<][\x20\t]*", r"[\x20\t]*[\])}>][\x20\t]*"
 _SIGN = re.compile(rf"(?P<at>{_OPEN}(?:at|@|arroba){_CLOSE})|(?P<dot>{_OPEN}(?:dot|punkt|punto|point|\.){_CLOSE})", re.I)
-_WORDY = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\x20+(?:at|arroba)\x20+)[A-Za-z0-9-]+(?:(?:\x20+(?:dot|punkt|punto)\x20+|\.)[A-Za-z0-9-]+)*\x20+(?:dot|punkt|punto)\x20+(?:" + "|".join(TOP) + r")(?![A-Za-z0-9-])", re.I)
-_WORDY_DOT = re.compile(r"\x20+(?:dot|punkt|punto)\x20+", re.I)
+_DOT = r"\x20+(?:dot|punkt|punto)\x20+"
+_TOP = rf"(?:{'|'.join(TOP)})(?![A-Za-z0-9-])"
+#: Any last label may follow a domain that is no plain prose, and an @ if all dots are words; those of TOP end any domain.
+_WORDY = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:"
+    rf"(?P<at>\x20+(?:at|arroba)\x20+)(?:(?!(?:{'|'.join(NO_DOMAIN)})\x20)[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9-])"
+    rf"|[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*{_DOT}{_TOP})"
+    rf"|(?P<sign>\x20*@\x20*)(?:[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9-])"
+    rf"|[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*{_DOT}{_TOP}))",
+    re.I,
+)
+_WORDY_DOT = re.compile(_DOT, re.I)
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _NUMBER = re.compile(rf"(?:\b(?:plus|oh)[\x20-]+)?(?<!\w)(?:{_WORD}|[0-9]+)(?:(?:[\x20,-]+|[\x20]*\.[\x20]*|[\x20]+(?:dot|punkt|punto|point)[\x20]+)(?:oh|{_WORD}|[0-9]+))+(?!\w)", re.I)
+_SPELLED, _NEXT = re.compile(rf"\b(?:oh|{_WORD})\b", re.I), re.compile(r"[.,]\x20")
 _NUMBER_PART = re.compile(rf"(?P<plus>\bplus\b)|(?P<word>\b(?:oh|{_WORD})\b)|(?P<dot>\.|\b(?:dot|punkt|punto|point)\b)|(?P<digit>[0-9])|(?P<gap>[\x20,-]+)", re.I)
 
 
@@ -128,7 +142,8 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
 def _wordy(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _WORDY.finditer(text):
-        out += [(*m.span("at"), "@"), *((*d.span(), ".") for d in _WORDY_DOT.finditer(text, m.end("at"), m.end()))]
+        at = m.span("at") if m["at"] else m.span("sign")
+        out += [(*at, "@"), *((*d.span(), ".") for d in _WORDY_DOT.finditer(text, at[1], m.end()))]
     return out
 
 
@@ -136,7 +151,7 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _NUMBER.finditer(text):
         parts = list(_NUMBER_PART.finditer(text, *m.span()))
-        if sum(p.lastgroup == "word" for p in parts) >= LEAST:
+        if any(p.lastgroup == "word" or (p.lastgroup == "dot" and p[0] != ".") for p in parts):
             for i, p in enumerate(parts):
                 if p.lastgroup == "word":
                     out.append((*p.span(), SPELLED.get(p[0].lower(), "0")))
@@ -151,11 +166,19 @@ def signs_of_disguise(text: str, odd: bool) -> list:
     """The transducers that have something to do in the text. odd: whether it has characters beyond Latin ones."""
     low = text.lower()
     bracket = any(c in text for c in "[({<") or odd
-    number = sum(low.count(w) for w in SPELLED) >= LEAST
     dots = any(f" {w} " in low for w in ("dot", "punkt", "punto"))
+    number = dots or " point " in low or any(w in low for w in SPELLED)
     return [f for f, use in ((_looks, odd), (_signs, bracket), (_wordy, dots), (_numbers, number)) if use]
 
 
+def _adds_little(text: str, base: tuple[int, int, int], own: tuple[int, int, int]) -> bool:
+    """Whether own is the number base and a number word of the text around it: "10.0.0.1 one", "3138. One"."""
+    if base[1] != own[1] or own[1] == 0 or not own[0] <= base[0] <= base[2] <= own[2]:
+        return False
+    beside = (text[own[0] : base[0]], text[base[2] : own[2]])
+    return sum(len(_SPELLED.findall(x)) for x in beside) < LEAST and (KINDS[own[1]] == "ip" or any(_NEXT.search(x) for x in beside))
+
+
 def find(text: str, odd: bool = True) -> list[tuple[int, int, int, bool]]:
     """(start, number of the kind, end, whether disguised) by start and kind."""
     base = plain(text)
@@ -168,7 +191,7 @@ def find(text: str, odd: bool = True) -> list[tuple[int, int, int, bool]]:
         if r.text is not before:
             for s, k, e in plain(r.text):
                 own = (int(r.start[s]), k, int(r.end[e - 1]))
-                if not any(k == b[1] and b[0] <= own[0] and own[2] <= b[2] for b in base):
+                if not any(k == b[1] and b[0] <= own[0] and own[2] <= b[2] or _adds_little(text, b, own) for b in base):
                     spans.append((*own, True))
     return sorted(set(spans))
 

@@ -135,6 +135,33 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert [(pii.KINDS[k], text[s:e]) for s, k, e, hidden in pii.find(text) if hidden] == [(kind, found)]
 
 
+@pytest.mark.parametrize("text, kind, found", [
+    ("call +1 555 one two three 4567 now", "phone", "+1 555 one two three 4567"),
+    ("call +1 555 123 456 seven", "phone", "+1 555 123 456 seven"),
+    ("host 192 dot 168 dot 0 dot 1 up", "ip", "192 dot 168 dot 0 dot 1"),
+    ("host 192 punkt 168 punkt 0 punkt 1", "ip", "192 punkt 168 punkt 0 punkt 1"),
+    ("host ten.0.0.1 or 10.0.0.one", "ip", "10.0.0.one"),
+    ("card 4111 1111 1111 111 one ok", "card", "4111 1111 1111 111 one"),
+    ("ann at firm dot xyz", "email", "ann at firm dot xyz"),
+    ("ann at the dot com", "email", "ann at the dot com"),
+    ("write ann@firm dot com.", "email", "ann@firm dot com"),
+    ("ann @ mail dot firm dot museum", "email", "ann @ mail dot firm dot museum"),
+    ("ann (at) firm dot xyz", "email", "ann (at) firm dot xyz"),
+    ("ann@firm.co dot uk", "email", "ann@firm.co dot uk"),
+    ("ann at firm dot us dot museum", "email", "ann at firm dot us dot museum"),
+])
+def test_short_disguises(text, kind, found):
+    assert [(pii.KINDS[k], text[s:e]) for s, k, e, hidden in pii.find(text) if hidden] == [(kind, found)]
+
+
+@pytest.mark.parametrize("text", [
+    "300 dot 168 dot 0 dot 1", "4111 1111 1111 111 two", "one two three", "At 10.0.0.1 one can see", "one 10.0.0.1",
+    "Call +1 706 555 3138. One of us", "ann@firm.com dot the i", "look at a dot there", "1 point 2, or two point three",
+])
+def test_texts_without_further_spans(text):
+    assert [x for x in pii.find(text) if x[3]] == []
+
+
 @pytest.mark.parametrize("text", ["look at the dot there", "one of two, three or four", "at (dot) noon", "Москва река", ""])
 def test_clean_texts_have_no_spans(text):
     assert pii.find(text) == []
