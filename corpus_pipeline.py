@@ -13,7 +13,8 @@ STAGES = [
     ("benchmark decontamination", decontamination.stage),
     ("byte-level BPE encoding and decoding", byte_bpe.stage),
 ]
-#: Learned models and digests have no SQL; tests hold each stage against a brute-force version.
+#: Learned models and digests have no SQL; tests hold line dedup and the Jaccard join against brute force or cases by
+#: hand, the others as operators only.
 ORACLE_SQL = None
 
 

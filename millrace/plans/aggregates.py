@@ -68,7 +68,7 @@ def ordered_string_aggregate(spark, sf_dir):
 
 @R.query()
 def approximate(spark, sf_dir):
-    """Sketch aggregates: distinct counts, quantiles, frequent items; mergeable, of fixed size."""
+    """Sketch aggregates: distinct counts, quantiles; mergeable, of fixed size."""
     return table(spark, sf_dir, "events").groupBy("event_type").agg(
         F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5, 10000).alias("median"),
         F.hll_sketch_estimate(F.hll_sketch_agg("user_id", 12)).alias("hll_users"), F.count("*").alias("n"),
