@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from millrace import session
 
-#: Bytes of text that one numpy step works on; a longer text is a step of its own.
-STEP_BYTES = 1 << 21
+#: Bytes of text that one numpy step works on; a longer text is a step of its own, which is read in pieces of this size.
+STEP_BYTES = 1 << 19
 
 #: Odd multiplier of the polynomial hash modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
@@ -49,9 +49,21 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def packed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns as one struct `_doc`, so that no name can clash, and the text beside it."""
-    return docs.select(F.struct("*").alias("_doc"), F.col(text).alias("text"))
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns as one struct `_doc`, so that no name can clash; its text is the column `_doc.text`."""
+    return docs.select(F.struct("*").alias("_doc"))
+
+
+def reading(docs: DataFrame, names: list[str], text: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """docs with the columns `names` and the text, and what takes the texts from a batch of it.
+
+    A text inside a struct of `names` isn't sent to Python a second time.
+    """
+    outer, _, inner = text.partition(".")
+    if inner and outer in names:
+        own, field = names.index(outer), docs.schema[outer].dataType.names.index(inner)
+        return docs.select(*names), lambda batch: batch.column(own).field(field)
+    return docs.select(*names, F.col(text)), lambda batch: batch.column(len(names))
 
 
 def mapped(df: DataFrame, run, schema) -> DataFrame:
@@ -146,6 +158,43 @@ def runs(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.nd
     return start[real], end[real]
 
 
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each run of one kind other than 0, and for each text where its own begin; the last entry is their number.
+
+    fold: what each byte counts as, before its kind is looked up. Data are read in pieces of bounded size; a run that
+    reaches over the end of a piece is put together from its parts, so its hash doesn't depend on where pieces end.
+    """
+    hashes, starts, last, size = [], [], -1, 0  # of the run before: where it ends and how long it is
+    for lo in range(0, len(data), STEP_BYTES):
+        part = fold[data[lo : lo + STEP_BYTES]]
+        own = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, lo + len(part), "right")] - lo
+        start, end = runs(part, own, kind)
+        h = span_hash(prefix_hash(part), start, end)
+        if len(start) and start[0] == 0 and last == lo and not (len(own) and own[0] == 0) and kind[part[0]] == kind[fold[data[lo - 1]]]:
+            with np.errstate(over="ignore"):
+                hashes[-1][-1] += np.uint64(pow(BASE, size, 1 << 64)) * h[0]
+            last, size = lo + int(end[0]), size + int(end[0])
+            start, end, h = start[1:], end[1:], h[1:]
+        if len(start):
+            hashes.append(h)
+            starts.append(start + lo)
+            last, size = lo + int(end[-1]), int(end[-1] - start[-1])
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    return mix(h), np.searchsorted(np.concatenate(starts) if starts else np.zeros(0, np.int64), offsets)
+
+
+def pieces(data: np.ndarray, gap: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of `most` bytes or less that end after a byte of gap, if there is one in the last half."""
+    lo = 0
+    while lo < len(data):
+        hi = min(lo + most, len(data))
+        if hi < len(data):
+            at = np.flatnonzero(gap[data[hi - most // 2 : hi]])
+            hi = hi - most // 2 + int(at[-1]) + 1 if len(at) else hi
+        yield lo, hi
+        lo = hi
+
+
 def columns(batch: pa.RecordBatch, lo: int, hi: int, names: list[str], more: dict[str, np.ndarray | pa.Array], schema: pa.Schema) -> pa.RecordBatch:
     """The given columns of rows lo to hi with further ones."""
     own = [batch.column(n).slice(lo, hi - lo) for n in names]

@@ -36,9 +36,7 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = 1
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, and for each text where its own begin; the last entry is their number."""
-    data = common.LOWER[data]
-    start, end = common.runs(data, offsets, _WORD)
-    return common.mix(common.span_hash(common.prefix_hash(data), start, end)), np.searchsorted(start, offsets)
+    return common.words(data, offsets, _WORD)
 
 
 def words_of(texts: list[str | None]) -> list[np.ndarray]:

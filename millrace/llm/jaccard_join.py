@@ -48,10 +48,7 @@ _WORD[[32, 9, 10, 11, 12, 13]] = 0
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all texts, sorted within each text, and where each text's own begin."""
     rows = len(offsets) - 1
-    data = common.LOWER[data]
-    start, end = common.runs(data, offsets, _WORD)
-    word = common.mix(common.span_hash(common.prefix_hash(data), start, end))
-    at = np.searchsorted(start, offsets)
+    word, at = common.words(data, offsets, _WORD)
     n = np.diff(at)
     made = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
     owner = np.repeat(np.arange(rows), made)
