@@ -6,9 +6,12 @@ the first i bytes. Reading back from the end gives the encoding; bytes can be ap
 bytes alone; and after an edit only the bytes are encoded again from the edit on until `last` agrees with the
 old array over the longest token's length, for from there on both run alike.
 
-A text is split by the tokenizer's pattern and every match is a piece of its own. A piece that is itself in
-the vocabulary is that one token. Null counts as empty: no tokens. Rows are treated one by one, so repeated
-ids stay; other columns are not read. An empty table gives an empty result.
+The tokens that may end a prefix come from an automaton over the vocabulary, longest first.
+
+A text is split by the tokenizer's pattern and every match is a piece of its own; long texts are matched in parts, and
+no more than a part's pieces are held beside the ids. A piece that is itself in the vocabulary is that one token.
+Null counts as empty: no tokens. Rows are treated one by one, so repeated ids stay; other columns are not read,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections.abc import Iterable
 from itertools import islice
 from struct import pack
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-#: Pieces, and token pairs, that a worker remembers; beyond it, it starts anew.
-CACHE = 400_000
+#: Pieces that a worker remembers of late, and as many older ones; and token pairs, beyond which it starts anew.
+CACHE, PAIRS = 150_000, 400_000
 #: Matches of a text that are encoded at a time.
 PART = 1 << 18
 
@@ -42,16 +46,17 @@ class Vocabulary:
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             self.bytes_of[i] = b
-        #: tokens that merges can make; others only stand for a whole piece
-        self.made = {b: i for b, i in ranks.items() if len(b) == 1 or self.merge(b) == [i]}
         self.pairs: dict[int, bool] = {}
         self.edge: dict[int, tuple[list[bytes], list[bytes], bool]] = {}
-        lengths: dict[bytes, set[int]] = {}
-        for b in self.made:
-            if len(b) > 1:
-                lengths.setdefault(b[-2:], {1}).add(len(b))
-        #: by the last two bytes: how long a token with that end can be, longest first
-        self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
+        #: finds at each place the tokens that end there, longest first: of those that merges can make, for others only
+        #: stand for a whole piece
+        self.automaton = ahocorasick.Automaton()
+        for b, i in ranks.items():
+            if len(b) == 1 or self.merge(b) == [i]:
+                self.automaton.add_word(b.decode("latin-1"), (len(b), i))
+        if not all(bytes([c]) in ranks for c in range(256)):
+            raise ValueError("the vocabulary lacks a byte")
+        self.automaton.make_automaton()
 
     def merge(self, data: bytes) -> list[int]:
         """The definition: join the neighbours of lowest rank, leftmost first, until none is in the vocabulary."""
@@ -112,27 +117,21 @@ class Vocabulary:
 
     def extend(self, data: bytes, last: list[int]) -> None:
         """Finds the last token of each prefix that `last` lacks, trying longer tokens first."""
-        made, tails, pairs = self.made.get, self.tails.get, self.pairs
-        for end in range(len(last), len(data) + 1):
-            for length in tails(data[end - 2 : end] if end > 1 else b"", (1,)):
-                if length > end:
-                    continue
-                token = made(data[end - length : end])
-                if token is None:
-                    continue
-                if length == end:
-                    break
-                key = last[end - length] << 32 | token
-                fits = pairs.get(key)
+        pairs, known, solved, want = self.pairs, self.pairs.get, len(last), len(last) - 1
+        for at, (length, token) in self.automaton.iter(data.decode("latin-1"), max(0, solved - self.longest)):
+            if at != want:
+                continue
+            if length <= at:
+                key = last[solved - length] << 32 | token
+                fits = known(key)
                 if fits is None:
-                    if len(pairs) > 4 * CACHE:
+                    if len(pairs) > PAIRS:
                         pairs.clear()
                     fits = pairs[key] = self.together(key >> 32, token)
-                if fits:
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+                if not fits:
+                    continue
             last.append(token)
+            want, solved = solved, solved + 1
 
     def read(self, data: bytes, last: list[int]) -> list[int]:
         out, at = [], len(data)
@@ -175,28 +174,41 @@ class PrefixEncoding:
 
 
 class Pieces(dict):
-    """The ids of pieces, as little-endian 32-bit integers, made when first asked for."""
+    """The ids of pieces, as little-endian 32-bit integers, made when first asked for.
+
+    When there are too many, they become the old ones, from which those that are met again come back.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        ids = self.vocabulary.ranks.get(data)
-        if ids is None:
-            last = [-1]
-            self.vocabulary.extend(data, last)
-            ids = self.vocabulary.read(data, last)
-            out = pack(f"<{len(ids)}I", *ids)
-        else:
-            out = pack("<I", ids)
-        if len(data) <= 256:
-            if len(self) > CACHE:
-                self.clear()
-            self[piece] = out
+        out = self.old.get(piece)
+        if out is None:
+            data = piece.encode()
+            ids = self.vocabulary.ranks.get(data)
+            if ids is None:
+                last = [-1]
+                self.vocabulary.extend(data, last)
+                ids = self.vocabulary.read(data, last)
+                out = pack(f"<{len(ids)}I", *ids)
+            else:
+                out = pack("<I", ids)
+            if len(data) > 256:
+                return out
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = out
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+        self.vocabulary.pairs.clear()
+
 
 class Coder:
     def __init__(self, path: str, pattern: str):
@@ -249,6 +261,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
             for lo, hi in common.steps(common.utf8(column)[1]):
                 ids = [c.encode(x or "") for x in column.slice(lo, hi - lo).to_pylist()]
                 yield common.columns(batch, lo, hi, names, {"ids": id_lists(ids)}, arrow)
+        c.pieces.forget()
 
     return common.mapped(docs.select(*names, F.col(text)), run, out)
 
@@ -283,12 +296,16 @@ def digests(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
                 ids = [c.encode(x or "") for x in column.slice(lo, hi - lo).to_pylist()]
                 more = {"n": np.array([len(x) // 4 for x in ids], np.int64), "i": sha(ids), "d": sha(map(c.decode, ids))}
                 yield common.columns(batch, lo, hi, names, more | ({"ids": id_lists(ids)} if with_ids else {}), arrow)
+        c.pieces.forget()
 
     return common.mapped(docs.select(*names, F.col(text)), run, out)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's ids, their number, and the digests of the ids and of what they decode to."""
+    """Every document's ids, their number, and the digests of the ids and of what they decode to.
+
+    Every row gives a row, repeated ones too; null texts have no ids.
+    """
     names = tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns)
     return digests(docs, keep=names, with_ids=True)
 
