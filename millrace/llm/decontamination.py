@@ -1,19 +1,20 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The documents are indexed in shards: each row of the stored index covers a few megabytes of whole documents and
-has, for every word of the test set that occurs there, the sorted list of its positions. Shards are dealt by
-documents, so no word, however common, gathers in one task. Counts of all words over all shards give the order of
-rarity. A phrase is found from its rarest word: the positions of each further word, less its offset in the
-phrase, are intersected with the starts that are left, and most phrases end after one or two lists. A proximity
-search takes the same lists and returns the shortest stretches that hold all of its words.
+The documents are indexed once, in shards: each row of the stored index covers a few megabytes of whole documents and
+has, for every word that occurs there, the sorted list of its positions. Shards are dealt by documents, so no word,
+however common, gathers in one task, and any test set can be searched in the same index. Counts of the test set's
+words over all shards give the order of rarity. A phrase is found from its rarest word: the positions of each further
+word, less its offset in the phrase, are intersected with the starts that are left, and most phrases end after one or
+two lists. A proximity search takes the same lists and returns the shortest stretches that hold all of its words.
 
 The test set is taken in blocks of bounded size; only a block's words and phrases are broadcast, and a further
-block costs a further index. Words are maximal runs of 0-9, a-z and bytes over 127, after lower-casing A-Z.
+block costs a further search. Words are maximal runs of 0-9, a-z and bytes over 127, after lower-casing A-Z.
 Windows are the runs of `window` words of an item; an item with fewer words, but not none, is one window.
 
-Null and empty texts have no words and are never hit. Items with the same id count once. Rows of the documents are
-treated one by one, so repeated ids stay. Other columns are not read, whatever their names. An empty test set
-hits nothing, and an empty table of documents gives an empty result.
+Null and empty texts have no words and are never hit. A very long text makes a shard of its own. Items with the same id
+count once, equal items are searched once. Rows of the documents are treated one by one, so repeated ids stay. Other
+columns are not read, whatever their names, and those in `keep` come back as they are. An empty test set hits nothing,
+and an empty table of documents gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-#: Bytes of test texts in a block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of test texts in a block, about, and of documents in a shard.
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 2 << 20
 
 _WORD = np.zeros(256, np.uint8)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = 1
@@ -44,68 +45,74 @@ def words_of(texts: list[str | None]) -> list[np.ndarray]:
     return [hashes[a:b] for a, b in zip(at, at[1:])]
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The stored index: a row for each shard, with its documents and the positions of the words in the vocabulary.
+def build_index(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The stored index: a row for each shard, with its documents and the positions of all words.
 
-    vocabulary: sorted hashes of words. A document's positions begin at `first`; one position is left free after
-    each document. `gaps` are the differences of all positions, term after term; `ends` is where each term's end.
+    A document's positions begin at `first`; one position is left free after each document. `terms` are the sorted
+    hashes of the words, `gaps` the differences of all positions, term after term; `ends` is where each term's end.
     """
     names = list(keep)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     own = common.schema_of(docs, names, "n_words long, first int")[0]
-    schema = f"docs array<{own.simpleString()}>, terms array<int>, ends array<int>, gaps array<int>"
+    schema = f"docs array<{own.simpleString()}>, terms array<long>, ends array<int>, gaps array<int>"
+    rows, texts = common.reading(docs, names, text)
 
     def run(batches):
-        vocabulary = shared.value
         for batch in batches:
-            data, offsets = common.utf8(batch.column(len(names)))
-            for lo, hi in common.steps(offsets):
-                hashes, at = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                n, term = np.diff(at), np.zeros(0, np.int64)
-                if len(vocabulary) and len(hashes):
-                    term = np.searchsorted(vocabulary, hashes)
-                    term[term == len(vocabulary)] = 0
-                    known = np.flatnonzero(vocabulary[term] == hashes)
-                    term = term[known].astype(np.int32)
-                    position = known + np.searchsorted(at, known, "right") - 1
-                    order = np.argsort(term, kind="stable")
-                    term, position = term[order], position[order]
-                edge = np.flatnonzero(np.diff(term, append=-1)) + 1 if len(term) else np.zeros(0, np.int64)
-                gaps = np.diff(position, prepend=0) if len(term) else np.zeros(0, np.int64)
+            data, offsets = common.utf8(texts(batch))
+            for lo, hi in common.steps(offsets, SHARD_BYTES):
+                term, at = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                n = np.diff(at)
+                order = np.argsort(term, kind="stable")
+                position = order + np.searchsorted(at, order, "right") - 1
+                term = term[order]
+                edge = np.flatnonzero(term[1:] != term[:-1]) + 1
+                edge = np.append(edge, len(term)) if len(term) else edge
                 structs = pa.StructArray.from_arrays(
                     [batch.column(x).slice(lo, hi - lo) for x in names] + [pa.array(n, pa.int64()), pa.array((at[:-1] + np.arange(len(n))).astype(np.int32))], names=[*names, "n_words", "first"]
                 )
-                lists = [structs, *(pa.array(x.astype(np.int32)) for x in (term[edge - 1], edge, gaps))]
+                lists = [structs, pa.array(term[edge - 1].view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (edge, np.diff(position, prepend=0)))]
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], names=["docs", "terms", "ends", "gaps"])
 
-    return common.staged(common.mapped(docs.select(*names, F.col(text)), run, schema))
+    return common.staged(common.mapped(rows, run, schema))
 
 
-def term_counts(index: DataFrame, size: int) -> np.ndarray:
+def places(terms: np.ndarray, ends: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Where the postings of each word of the vocabulary (sorted hashes) begin and end in a shard."""
+    out = np.zeros((len(vocabulary), 2), np.int64)
+    terms = terms.view(np.uint64)
+    at = np.searchsorted(terms, vocabulary)
+    known = np.flatnonzero(at < len(terms))
+    known = known[terms[at[known]] == vocabulary[known]]
+    at = at[known]
+    out[known, 1] = ends[at]
+    out[known[at > 0], 0] = ends[at[at > 0] - 1]
+    return out
+
+
+def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """How often each word of the vocabulary occurs in all shards."""
+    shared = index.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        total = np.zeros(size, np.int64)
+        total = np.zeros(len(shared.value), np.int64)
         for batch in batches:
             for terms, ends in zip(batch.column(0), batch.column(1)):
-                total[terms.values.to_numpy()] += np.diff(ends.values.to_numpy(), prepend=0)
+                total += np.diff(places(terms.values.to_numpy(), ends.values.to_numpy(), shared.value))[:, 0]
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], names=["term", "n"])
 
     found = common.mapped(index.select("terms", "ends"), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size, np.int64)
+    out = np.zeros(len(vocabulary), np.int64)
     out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
 class Shard:
-    """The postings of one row of the index."""
+    """The postings of one row of the index, for the words of a vocabulary."""
 
-    def __init__(self, terms: np.ndarray, ends: np.ndarray, gaps: np.ndarray, size: int):
+    def __init__(self, terms: np.ndarray, ends: np.ndarray, gaps: np.ndarray, vocabulary: np.ndarray):
         self.positions = np.cumsum(gaps, dtype=np.int64)
-        self.at = np.zeros((size, 2), np.int64)
-        self.at[terms, 1] = ends
-        self.at[terms[1:], 0] = ends[:-1]
+        self.at = places(terms, ends, vocabulary)
 
     def has(self) -> np.ndarray:
         return self.at[:, 1] > self.at[:, 0]
@@ -161,7 +168,7 @@ def search(index: DataFrame, vocabulary: np.ndarray, queries: list[tuple[str, np
     queries: (id, hashes of words, None for an exact phrase or the most words that a match may span). Stretches of
     exact phrases that touch are joined. A word that isn't in the vocabulary matches nothing.
     """
-    counts = term_counts(index, len(vocabulary))
+    counts = term_counts(index, vocabulary)
     phrases = defaultdict(set)
     spans = []
     for name, h, within in queries:
@@ -175,16 +182,16 @@ def search(index: DataFrame, vocabulary: np.ndarray, queries: list[tuple[str, np
     for key in phrases:
         lengths[len(key) // 4].append(key)
     tables = {m: (np.frombuffer(b"".join(keys), np.int32).reshape(-1, m), [sorted(phrases[k]) for k in keys]) for m, keys in lengths.items()}
-    shared = index.sparkSession.sparkContext.broadcast((counts, tables, spans))
+    shared = index.sparkSession.sparkContext.broadcast((vocabulary, counts, tables, spans))
     fields = index.schema["docs"].dataType.elementType
     out, arrow = common.schema_of(index.sparkSession.createDataFrame([], fields), [*keep, "n_words"], "items array<string>, starts array<int>, ends array<int>")
 
     def run(batches):
-        counts, tables, spans = shared.value
+        vocabulary, counts, tables, spans = shared.value
         for batch in batches:
             for r in range(batch.num_rows):
                 docs, terms, ends, gaps = (batch.column(i)[r].values for i in range(4))
-                shard = Shard(terms.to_numpy(), ends.to_numpy(), gaps.to_numpy(), len(counts))
+                shard = Shard(terms.to_numpy(), ends.to_numpy(), gaps.to_numpy(), vocabulary)
                 first = docs.field(docs.type.get_field_index("first")).to_numpy()
                 n = docs.field(docs.type.get_field_index("n_words")).to_numpy()
                 has, found, cover, more = shard.has(), set(), np.zeros(first[-1] + n[-1] + 2, np.int32), []
@@ -219,27 +226,27 @@ def search(index: DataFrame, vocabulary: np.ndarray, queries: list[tuple[str, np
 
 def decontaminate(docs: DataFrame, tests: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """The columns `keep` with n_words, items (sorted ids of items with a window in the text), starts and ends of hit stretches of words."""
-    items = tests.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text")).where("text is not null")
+    items = tests.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     if blocks > 1:
-        docs = common.staged(docs.select(*keep, F.col(text)).withColumn("_row", F.monotonically_increasing_id()))
+        docs, keep = docs.withColumn("_row", F.monotonically_increasing_id()), (*keep, "_row")
+    index = build_index(docs, text, keep)
     found = []
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()
         queries = []
         for row, h in zip(rows, words_of([r["text"] for r in rows])):
             queries += [(row["id"], h[i : i + window], None) for i in range(max(len(h) - window + 1, min(len(h), 1)))]
         vocabulary = np.unique(np.concatenate([q[1] for q in queries])) if queries else np.zeros(0, np.uint64)
-        own = keep if blocks == 1 else (*keep, "_row")
-        found.append(search(build_index(docs, vocabulary, text, own), vocabulary, queries, own))
+        found.append(search(index, vocabulary, queries, keep))
     if blocks == 1:
         return found[0].withColumn("items", F.array_sort("items"))
     every = found[0]
     for x in found[1:]:
         every = every.union(x)
     lists = [F.flatten(F.collect_list(x)).alias(x) for x in ("items", "starts", "ends")]
-    merged = every.groupBy("_row").agg(*(F.first(x).alias(x) for x in (*keep, "n_words")), *lists)
+    merged = every.groupBy("_row").agg(*(F.first(x).alias(x) for x in (*keep[:-1], "n_words")), *lists)
     return merged.drop("_row").withColumn("items", F.array_sort(F.array_distinct("items")))
 
 
@@ -258,8 +265,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which no window of a benchmark item stands."""
-    found = decontaminate(common.packed(docs), common.table(spark, sf_dir, "benchmark"), keep=("_doc",))
+    """The documents in which no window of a benchmark item stands.
+
+    Every row is decided by its own text: repeated rows and ids stay or go together, all columns come back as they were.
+    """
+    found = decontaminate(common.packed(docs), common.table(spark, sf_dir, "benchmark"), "_doc.text", ("_doc",))
     return found.where(F.size("items") == 0).select("_doc.*")
 
 

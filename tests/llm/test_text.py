@@ -226,6 +226,6 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x b y y y a b"), (2, "b"), (3, "b a"), (4, "a x x x x b")], "doc_id long, text string")
     a, b = decontamination.words_of(["a b"])[0]
     vocabulary = np.unique(np.array([a, b]))
-    index = decontamination.build_index(docs, vocabulary)
+    index = decontamination.build_index(docs)
     got = {r["doc_id"]: (r["items"], r["starts"], r["ends"]) for r in decontamination.search(index, vocabulary, [("near", np.array([a, b]), 3)]).collect()}
     assert got == {1: (["near"], [0, 6], [3, 8]), 2: ([], [], []), 3: (["near"], [0], [2]), 4: ([], [], [])}
