@@ -85,6 +85,23 @@ def bucketed(df: DataFrame, by: str) -> DataFrame:
     return spark.table(name)
 
 
+class Seen:
+    """What a task has met of late: a value that comes again within the last `most` different ones is not new."""
+
+    def __init__(self, most: int = 1 << 18):
+        self.most, self.values = most, set()
+
+    def new(self, values: np.ndarray) -> np.ndarray:
+        """Whether each value is met for the first time."""
+        if len(self.values) > self.most:
+            self.values.clear()
+        out = np.zeros(len(values), bool)
+        out[np.unique(values, return_index=True)[1]] = True
+        out &= [v not in self.values for v in values.tolist()]
+        self.values.update(values.tolist())
+        return out
+
+
 def parallel(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -211,16 +228,26 @@ def schema_of(df: DataFrame, names: list[str], more: str):
     return spark_schema, to_arrow_schema(spark_schema)
 
 
-def bitmap(values: DataFrame, column: str, bits: int, hashed: bool = False) -> np.ndarray:
-    """A filter of fixed size: one bit for each value of the hash of the column, modulo 2**bits."""
+def bitmap(values: DataFrame, column: str, hashed: bool = False) -> np.ndarray:
+    """A filter that takes values in by one bit of their hash: for each value its bit is set, for most others not.
+
+    Its size follows the number of values, from 2**16 bits to 2**27 (16 MB). The values are read twice: pass a staged table.
+    """
+    bits = min(27, max(16, int(values.count()).bit_length() + 4))
     number = F.col(column) if hashed else F.xxhash64(column)
     rows = values.select((number.bitwiseAND((1 << bits) - 1) + 1).alias("v")).select(F.bitmap_bucket_number("v").alias("b"), F.bitmap_bit_position("v").alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
-    out = np.zeros(((1 << bits) + 32767) // 32768 * 4096, np.uint8)
+    out = np.zeros((1 << bits) // 8, np.uint8)
     for r in rows:
-        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)[: len(out)]
     return out
 
 
+def inside(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits of these hashes are set."""
+    at = hashes & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def rank_file(path: str) -> dict[bytes, int]:
     import base64
 

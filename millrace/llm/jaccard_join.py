@@ -176,12 +176,12 @@ def ranked(rows: DataFrame, deal: int) -> DataFrame:
 def sets_of(docs: DataFrame, measured: DataFrame, candidates: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
     """(point, shingles) of the candidates, each from one document."""
     chosen = measured.join(candidates, "point", "left_semi").groupBy("point").agg(F.min(doc_id).alias("id"))
-    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(chosen, "id", FILTER_BITS))
+    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(chosen, "id"))
 
     def run(batches):
-        bits_, seen = np.unpackbits(bits.value, bitorder="little"), set()
+        seen = set()
         for batch in batches:
-            wanted = bits_[batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)].astype(bool)
+            wanted = common.inside(bits.value, batch.column(0).to_numpy())
             data, offsets = common.utf8(batch.column(1).filter(pa.array(wanted)))
             for lo, hi in common.steps(offsets):
                 h, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)

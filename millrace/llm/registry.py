@@ -15,6 +15,7 @@ QUERIES = {
     "op10_html_text": html_text.op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op5_decontamination": decontamination.ORACLE_SQL,
     "op7_jaccard_join": jaccard_join.ORACLE_SQL,
     "op8_vector_topk": vector_topk.ORACLE_SQL,
