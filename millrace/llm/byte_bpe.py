@@ -21,7 +21,6 @@ from collections.abc import Iterable
 from itertools import islice
 from struct import pack
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +28,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-#: Pieces that a worker remembers of late, and as many older ones; and token pairs, beyond which it starts anew.
-CACHE, PAIRS = 150_000, 400_000
+#: Pieces that a worker remembers of late, and as many older ones.
+CACHE = 150_000
+#: Token pairs, moves of the automaton and beginnings of pieces that it remembers; beyond these, it starts anew.
+PAIRS, MOVES, HEADS = 400_000, 400_000, 60_000
+#: Bytes that the remembered beginnings of pieces have.
+HEAD = 6
 #: Matches of a text that are encoded at a time.
 PART = 1 << 18
 
@@ -48,15 +51,51 @@ class Vocabulary:
             self.bytes_of[i] = b
         self.pairs: dict[int, bool] = {}
         self.edge: dict[int, tuple[list[bytes], list[bytes], bool]] = {}
-        #: finds at each place the tokens that end there, longest first: of those that merges can make, for others only
-        #: stand for a whole piece
-        self.automaton = ahocorasick.Automaton()
-        for b, i in ranks.items():
-            if len(b) == 1 or self.merge(b) == [i]:
-                self.automaton.add_word(b.decode("latin-1"), (len(b), i))
         if not all(bytes([c]) in ranks for c in range(256)):
             raise ValueError("the vocabulary lacks a byte")
-        self.automaton.make_automaton()
+        self._build([b for b in ranks if len(b) == 1 or self.merge(b) == [ranks[b]]])
+
+    def _build(self, made: list[bytes]) -> None:
+        """The automaton that tells at each place which tokens end there, longest first: of those that merges can make,
+        for others only stand for a whole piece. A move is known by its state and byte."""
+        self.trie: dict[int, int] = {}
+        own, up = [0], [-1]
+        for b in made:
+            node = 0
+            for c in b:
+                key = node << 8 | c
+                node = self.trie.setdefault(key, len(own))
+                if node == len(own):
+                    own.append(0)
+                    up.append(key)
+            own[node] = len(b)
+        # tokens by length: states for shorter beginnings come first
+        depth = [0] * len(own)
+        for node in range(1, len(own)):
+            depth[node] = depth[up[node] >> 8] + 1
+        self.fail, self.ends = [0] * len(own), [()] * len(own)
+        text: list[bytes] = [b""] * len(own)
+        for node in sorted(range(1, len(own)), key=depth.__getitem__):
+            above, c = up[node] >> 8, up[node] & 255
+            text[node] = text[above] + bytes((c,))
+            if above:
+                at = self.fail[above]
+                while (to := self.trie.get(at << 8 | c)) is None and at:
+                    at = self.fail[at]
+                self.fail[node] = to or 0
+            more = self.ends[self.fail[node]]
+            self.ends[node] = ((own[node], self.ranks[text[node]]), *more) if own[node] else more
+        self.moves = dict(self.trie)
+
+    def move(self, key: int) -> int:
+        """The state after a state and a byte."""
+        state, c = key >> 8, key & 255
+        while (to := self.trie.get(state << 8 | c)) is None and state:
+            state = self.fail[state]
+        if len(self.moves) > len(self.trie) + MOVES:
+            self.moves = dict(self.trie)
+        self.moves[key] = to or 0
+        return to or 0
 
     def merge(self, data: bytes) -> list[int]:
         """The definition: join the neighbours of lowest rank, leftmost first, until none is in the vocabulary."""
@@ -115,23 +154,37 @@ class Vocabulary:
             else:
                 j += 1
 
-    def extend(self, data: bytes, last: list[int]) -> None:
-        """Finds the last token of each prefix that `last` lacks, trying longer tokens first."""
-        pairs, known, solved, want = self.pairs, self.pairs.get, len(last), len(last) - 1
-        for at, (length, token) in self.automaton.iter(data.decode("latin-1"), max(0, solved - self.longest)):
-            if at != want:
-                continue
-            if length <= at:
-                key = last[solved - length] << 32 | token
-                fits = known(key)
+    def extend(self, data: bytes, last: list[int], state: int | None = None) -> int:
+        """Finds the last token of each prefix that `last` lacks, trying longer tokens first.
+
+        state: of the automaton after what `last` covers, if it is known; that after all data is returned.
+        """
+        moves, ends, known, done = self.moves.get, self.ends, self.pairs.get, len(last) - 1
+        if state is None:
+            state = 0
+            for c in data[max(0, done - self.longest) : done]:
+                state = self.move(state << 8 | c)
+        for end, c in enumerate(data[done:], done + 1):
+            key = state << 8 | c
+            state = moves(key)
+            if state is None:
+                state = self.move(key)
+                moves = self.moves.get
+            for length, token in ends[state]:
+                if length == end:
+                    break
+                pair = last[end - length] << 32 | token
+                fits = known(pair)
+                if fits:
+                    break
                 if fits is None:
-                    if len(pairs) > PAIRS:
-                        pairs.clear()
-                    fits = pairs[key] = self.together(key >> 32, token)
-                if not fits:
-                    continue
+                    if len(self.pairs) > PAIRS:
+                        self.pairs.clear()
+                    fits = self.pairs[pair] = self.together(pair >> 32, token)
+                    if fits:
+                        break
             last.append(token)
-            want, solved = solved, solved + 1
+        return state
 
     def read(self, data: bytes, last: list[int]) -> list[int]:
         out, at = [], len(data)
@@ -145,27 +198,29 @@ class PrefixEncoding:
     """The encoding of one piece, kept as the last token of each of its prefixes."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
+        self.vocabulary, self.data, self.last, self.state = vocabulary, b"", [-1], 0
         self.append(data)
 
     def append(self, more: bytes) -> "PrefixEncoding":
         self.data += more
-        self.vocabulary.extend(self.data, self.last)
+        self.state = self.vocabulary.extend(self.data, self.last, self.state)
         return self
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replaces data[start:end]; returns how many prefixes were encoded again."""
         old, shift, self.last = self.last, len(new) - (end - start), self.last[: start + 1]
         self.data = self.data[:start] + new + self.data[end:]
-        same, done, fixed = 0, 0, start + len(new)
+        same, done, fixed, state = 0, 0, start + len(new), None
         while len(self.last) <= len(self.data):
-            self.vocabulary.extend(self.data[: len(self.last)], self.last)
+            state = self.vocabulary.extend(self.data[: len(self.last)], self.last, state)
             done += 1
             at = len(self.last) - 1
             same = same + 1 if at > fixed + self.vocabulary.longest and self.last[at] == old[at - shift] else 0
             if same >= self.vocabulary.longest:
                 self.last += old[at - shift + 1 :]
                 break
+        else:
+            self.state = self.state if state is None else state
         return done
 
     def ids(self) -> list[int]:
@@ -183,6 +238,21 @@ class Pieces(dict):
         super().__init__()
         self.vocabulary = vocabulary
         self.old: dict[str, bytes] = {}
+        self.heads: dict[bytes, tuple[list[int], int]] = {}
+
+    def solve(self, data: bytes) -> list[int]:
+        """The ids of a piece that isn't one token: goes on from what is known of its first bytes."""
+        head = data[:HEAD]
+        known = self.heads.get(head)
+        if known is None:
+            last = [-1]
+            known = last, self.vocabulary.extend(head, last, 0)
+            if len(self.heads) > HEADS:
+                self.heads.clear()
+            self.heads[head] = known
+        last = known[0].copy()
+        self.vocabulary.extend(data, last, known[1])
+        return self.vocabulary.read(data, last)
 
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
@@ -190,9 +260,7 @@ class Pieces(dict):
             data = piece.encode()
             ids = self.vocabulary.ranks.get(data)
             if ids is None:
-                last = [-1]
-                self.vocabulary.extend(data, last)
-                ids = self.vocabulary.read(data, last)
+                ids = self.solve(data)
                 out = pack(f"<{len(ids)}I", *ids)
             else:
                 out = pack("<I", ids)
@@ -205,9 +273,8 @@ class Pieces(dict):
         return out
 
     def forget(self) -> None:
-        self.clear()
-        self.old = {}
-        self.vocabulary.pairs.clear()
+        for held in (super(), self.old, self.heads, self.vocabulary.pairs):
+            held.clear()
 
 
 class Coder:

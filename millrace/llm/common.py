@@ -97,7 +97,7 @@ class Seen:
             self.values.clear()
         out = np.zeros(len(values), bool)
         out[np.unique(values, return_index=True)[1]] = True
-        out &= [v not in self.values for v in values.tolist()]
+        out &= np.array([v not in self.values for v in values.tolist()], bool)
         self.values.update(values.tolist())
         return out
 
