@@ -3,7 +3,13 @@
 1 - Jaccard is a metric. Documents with equal sets are one point. Two points within distance r = 1 - t share one at
 least of the first |A| - ceil(t|A|) + 1 shingles of each in any fixed order, so each such shingle opens a region
 that holds all points of which it is a first one, and no link is lost. The order puts rare shingles first (by a
-count sketch of fixed size over all documents), so passages that many documents share open no regions.
+count sketch of fixed size over all documents), so passages that many documents share open few regions.
+
+A first shingle that more than HOT points have would open a crowded region. Points with such a shingle meet elsewhere
+instead: linked sets of about one size differ in a bounded number d of shingles, so with all shingles dealt to d + 1 + g
+parts by hash, two linked points agree in g + 1 whole parts at least, and the content of a part opens a region. Parts
+with less than two shingles say little; a point with g such parts or fewer leaves them out, for one of those in which it
+agrees with a linked point is another. Texts made of the same templates share single shingles, but seldom a whole part.
 
 A region then joins itself recursively. Some of its points become pivots, and all others get their distance to
 each. Links to pivots merge components. A region whose points lie in one component is done. Otherwise each point
@@ -11,12 +17,17 @@ goes to the Voronoi region of its nearest pivot if that is within 2r, else to a
 are copied to the other regions that the triangle inequality leaves open: a point at d(x,p) from its own pivot p can
 have a link in q's region only if d(x,q) <= min(d(x,p) + 2r, 3r); one with d(x,p) <= r has none in the rest region.
 Pivots leave, their number grows from round to round, and the recursion ends when no region has two components.
-Every step is a DataFrame join or window over points, so no region is ever gathered in a task.
+Sets are compared only if their parities (for each of 512 groups of shingles, whether the set holds an odd number) leave
+the distance open: parities that differ in k groups mean k different shingles at least.
+
+Every step is a DataFrame join or a combined aggregate, so no region is ever gathered in a task; joins on keys that may
+be hot are plain ones that adaptive execution splits, or salted by the key's count.
 
 Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return, after lower-casing
 A-Z. Fewer words than a shingle make one shingle of all of them; null, empty and blank texts have the empty set and
-link with nothing. Sets and points are known by 64-bit hashes. Rows are treated one by one: repeated ids stay, and
-equal texts link whatever their ids. Other columns are not read. An empty table gives an empty result.
+link with nothing. Sets and points are known by 64-bit hashes. Rows are treated one by one: repeated ids stay, equal
+texts link whatever their ids, and a null id is no component's smallest. Other columns are not read, whatever their
+names. Very long texts are hashed in pieces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,20 +35,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.llm import common
 
-#: Counters of the sketch, and in how many pieces it is added up.
-SKETCH_BITS, PIECES = 21, 32
+#: Counters of the sketch, in how many pieces it is added up, and of how many tasks at a time.
+SKETCH_BITS, PIECES, FAN = 21, 32, 64
 #: Pivots of a region that its points are dealt by, and are linked to in the first round; each further round links to
-#: four times as many.
-PIVOTS = 4
-#: Bits of the filter by which the texts of candidates are picked.
-FILTER_BITS = 24
+#: GROWTH times as many.
+PIVOTS, GROWTH = 4, 16
+#: Points (copies in different tasks counted) from which on a first shingle opens no region.
+HOT = 64
+#: Pairs of one pivot that are compared in one place.
+TOGETHER = 256
+#: 64-bit words of a set's parity.
+PARITY = 8
 #: Words of a shingle and percent of a link in the pipeline's stage; the query has its own.
 SIZE, PERCENT = 5, 80
 
@@ -84,20 +98,17 @@ def measure(docs: DataFrame, size: int, text: str, keep: list[str]) -> tuple[Dat
     width = (1 << SKETCH_BITS) // PIECES
 
     def run(batches):
-        sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
+        sketch, seen, met = np.zeros(1 << SKETCH_BITS, np.int64), common.Seen(), False
         for batch in batches:
             data, offsets = common.utf8(batch.column(len(keep)))
             for lo, hi in common.steps(offsets):
                 h, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 point = points(h, at)
-                new = np.zeros(hi - lo, bool)
-                new[np.unique(point, return_index=True)[1]] = True
-                new &= [p not in seen for p in point.tolist()]
-                seen.update(point.tolist())
+                new, met = seen.new(point), True
                 sketch += np.bincount((h[np.repeat(new, np.diff(at))] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
                 empty = [pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())]
                 yield common.columns(batch, lo, hi, keep, {"n": np.diff(at), "p": point, "i": empty[0], "c": empty[1]}, arrow)
-        if seen:
+        if met:
             nulls = [pa.nulls(PIECES, f.type) for f in arrow][:-2]
             parts = [pa.compress(x.astype(np.uint32).tobytes(), "zstd", asbytes=True) for x in sketch.reshape(PIECES, width)]
             yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], schema=arrow)
@@ -110,16 +121,60 @@ def measure(docs: DataFrame, size: int, text: str, keep: list[str]) -> tuple[Dat
         total = np.zeros(width, np.int64)
         for x in pdf["counts"]:
             total += np.frombuffer(pa.decompress(x, width * 4, "zstd", asbytes=True), np.uint32)
-        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "counts": [total.tobytes()]})
-
+        # counters stop at the largest number: they only tell common from rare
+        counts = np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()
+        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "counts": [pa.compress(counts, "zstd", asbytes=True)]})
+
+    parts = both.where("piece is not null").select("piece", "counts")
+    tasks = parts.where("piece = 0").count()
+    while tasks > FAN:  # in a tree: a group holds what some tasks counted
+        tasks = -(-tasks // FAN)
+        parts = common.staged(parts.groupBy("piece", F.pmod(F.xxhash64("counts"), F.lit(tasks))).applyInPandas(add, "piece int, counts binary"))
     sketch = np.zeros((PIECES, width), np.int64)
-    for row in both.where("piece is not null").select("piece", "counts").groupBy("piece").applyInPandas(add, "piece int, counts binary").collect():
-        sketch[row["piece"]] = np.frombuffer(row["counts"], np.int64)
+    for row in parts.groupBy("piece").applyInPandas(add, "piece int, counts binary").collect():
+        sketch[row["piece"]] = np.frombuffer(pa.decompress(row["counts"], width * 4, "zstd", asbytes=True), np.uint32)
     return both.where("piece is null").drop("piece", "counts"), sketch.ravel()
 
 
+def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least size of each class, and in how many shingles linked sets can differ of which the smaller one is of the
+    class. Linked sets are of one class or of neighbouring ones."""
+    least = [1]
+    while least[-1] < 1 << 40:
+        least.append(max(least[-1] + 1, least[-1] * 100 // percent + 1))
+    largest = np.array(least[1:], np.int64) - 1
+    return np.array(least, np.int64), (100 - percent) * (100 * largest // percent) // 100
+
+
+def signatures(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, region) for the content of each part of each set, for its own size class and the one below."""
+    least, differ = size_classes(percent)
+    spare = differ // 8 + 2
+    n = np.diff(at)
+    own, every, out = np.searchsorted(least, n, "right") - 1, np.arange(len(n)), []
+    for down in (0, 1):
+        kind = np.maximum(own - down, 0)
+        count = np.where((n > 0) & (own >= down), differ[kind] + 1 + spare[kind], 0)
+        first = np.cumsum(count) - count
+        owner = np.repeat(every, n)
+        use = count[owner] > 0
+        owner, mixed = owner[use], common.mix(h[use] ^ np.uint64(0x2545F4914F6CDD1D))
+        part = first[owner] + (mixed % count[owner].astype(np.uint64)).astype(np.int64)
+        total, filled = np.zeros(count.sum(), np.uint64), np.bincount(part, minlength=count.sum())
+        with np.errstate(over="ignore"):
+            np.add.at(total, part, mixed)
+            owner = np.repeat(every, count)
+            weak = filled < 2
+            few = np.bincount(owner, weak, len(n)) <= spare[kind]
+            key = (kind[owner] << 32 | np.arange(len(owner)) - first[owner]).astype(np.uint64)
+            region = common.mix(total + common.mix(key * np.uint64(common.BASE)))
+        take = ~(weak & few[owner])
+        out.append((owner[take], region[take]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def regions(docs: DataFrame, sketch: np.ndarray, size: int, percent: int, text: str) -> DataFrame:
-    """The first regions: a row (region, point, n, most) for each first shingle of each point.
+    """The first regions that hold two points: a row (region, point, n, most) for each of their points.
 
     most is the largest partner that the row can stand for: with `at` shingles before it, the first shingle that a
     pair shares leaves it n - at common ones at most.
@@ -127,83 +182,120 @@ def regions(docs: DataFrame, sketch: np.ndarray, size: int, percent: int, text:
     # logarithmic classes of commonness are enough to put the common ones last
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(np.log2(np.maximum(sketch, 1)) * 4, 255).astype(np.uint8))
 
-    def run(batches):
-        commonness, seen = shared.value, set()
+    def firsts(batches):
+        """Of the sets that a task has not met of late: hashes, where each begins, points, and of each first shingle
+        its set, region and place."""
+        commonness, seen = shared.value, common.Seen()
         for batch in batches:
             data, offsets = common.utf8(batch.column(0))
             for lo, hi in common.steps(offsets):
                 h, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 n, point = np.diff(at), points(h, at)
-                new = np.zeros(hi - lo, bool)
-                new[np.unique(point, return_index=True)[1]] = True
-                new &= [p not in seen for p in point.tolist()]  # this task has dealt that set already
-                seen.update(point.tolist())
-                first = np.where(new & (n > 0), n - (percent * n + 99) // 100 + 1, 0)
+                count = np.where(seen.new(point) & (n > 0), n - (percent * n + 99) // 100 + 1, 0)
                 owner = np.repeat(np.arange(hi - lo), n)
                 order = np.lexsort((h, commonness[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))
                 place = np.arange(len(h)) - at[:-1][owner]
-                use = place < first[owner]
-                take, own = order[use], owner[use]
-                most = (100 + percent) * (n[own] - place[use]) // percent - n[own]
-                yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(point[own]), pa.array(n[own].astype(np.int32)), pa.array(most.astype(np.int32))], names=["region", "point", "n", "most"])
-
-    return common.mapped(docs.select(F.col(text)), run, "region long, point long, n int, most int")
-
-
-def ranked(rows: DataFrame, deal: int) -> DataFrame:
-    """The points of regions that may have a partner there, numbered: those of small components first, and then those
-    that share much with others.
-
-    Of a pair the smaller set must allow for the larger one, so it allows for its own size: it is a full member. A row
-    stays if it is full and the next larger set is within what it allows for, or if some full, not larger set allows
-    for it and, should it not be full itself, some full set is small enough.
+                use = place < count[owner]
+                # 48 bits: should two shingles fall together, their regions are one
+                yield h, at, point, owner[use], (h[order[use]] >> np.uint64(16)).view(np.int64), place[use]
+
+    def keys(batches):
+        for _, _, point, own, region, _ in firsts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(point[own])], names=["region", "point"])
+
+    each = common.mapped(docs.select(F.col(text)), keys, "region long, point long").groupBy("region")
+    found = common.staged(each.agg(F.min("point").alias("lo"), F.max("point").alias("hi"), F.count("*").alias("times")).where("lo <> hi").select("region", "times"))
+    bits = docs.sparkSession.sparkContext.broadcast((common.bitmap(found, "region", hashed=True), common.bitmap(found.where(F.col("times") > HOT), "region", hashed=True)))
+
+    def members(batches):
+        some, crowded = bits.value
+        for h, at, point, own, region, place in firsts(batches):
+            n = np.diff(at)
+            hot = common.inside(crowded, region)
+            use = ~hot & common.inside(some, region)
+            take = own[use]
+            most = (100 + percent) * (n[take] - place[use]) // percent - n[take]
+            rows = [(region[use], take, most)]
+            sets = np.unique(own[hot])
+            if len(sets):
+                ends = np.cumsum(np.r_[0, n[sets]])
+                part, where = signatures(np.concatenate([h[at[i] : at[i + 1]] for i in sets]), ends, percent)
+                rows.append((where.view(np.int64), sets[part], 100 * n[sets[part]] // percent))
+            where, take, most = (np.concatenate(x) for x in zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(point[take]), pa.array(n[take].astype(np.int32)), pa.array(most.astype(np.int32))], names=["region", "point", "n", "most"])
+
+    rows = common.staged(common.mapped(docs.select(F.col(text)), members, "region long, point long, n int, most int"))
+    once = rows.groupBy("region", "point").agg(F.first("n").alias("n"), F.max("most").alias("most"))
+    return of_several(once, rows, "point")
+
+
+def of_several(members: DataFrame, rows: DataFrame, what: str) -> DataFrame:
+    """The members of regions in which, by rows, `what` has two values."""
+    several = rows.groupBy("region").agg(F.min(what).alias("lo"), F.max(what).alias("hi")).where("lo <> hi").select("region")
+    return members.join(several, "region", "left_semi")
+
+
+def pivots_of(members: DataFrame, count: int, deal: int) -> DataFrame:
+    """Up to `count` points of each region, from small components and of those that share much with others first:
+    (region, pivot, m, allows, other, first), first for those that points are dealt by.
+
+    Every point has one of `count` slots, and each slot its least point, so that no region is sorted.
     """
-    size = W.partitionBy("region").orderBy("n", "point")
-    before = size.rowsBetween(W.unboundedPreceding, -1)
-    # copies of a point from different tasks stand side by side
-    once = rows.withColumn("copy", F.lag("point").over(size)).where("copy is null or copy <> point")
-    full = F.col("most") >= F.col("n")
-    beside = once.withColumn("next", F.lead("n").over(size)).withColumn("allowed", F.max(F.when(full, F.col("most"))).over(before)).withColumn("least", F.min(F.when(full, F.col("n"))).over(before))
-    larger = full & (F.col("next") <= F.col("most"))
-    smaller = (F.col("allowed") >= F.col("n")) & (full | (F.col("least") <= F.col("most")))
-    some = beside.where(F.coalesce(larger, F.lit(False)) | F.coalesce(smaller, F.lit(False)))
-    # in the first round every point is a component of its own
-    some = some.withColumn("crowd", F.count("*").over(W.partitionBy("region", "component"))) if deal else some.withColumns({"component": F.col("point"), "crowd": F.lit(1)})
-    order = W.partitionBy("region").orderBy("crowd", (F.col("n") - F.col("most")) / F.col("n"), F.xxhash64("point", F.lit(deal)), "point")
-    return some.select("region", "point", "n", "most", "component", F.row_number().over(order).alias("rank"))
+    if deal:
+        crowd = members.groupBy("region", "component").agg(F.count("*").alias("crowd"))
+        members = members.join(crowd, ["region", "component"])
+    else:  # every point is a component of its own
+        members = members.withColumn("crowd", F.lit(1))
+    draw = F.xxhash64("point", F.lit(deal))
+    best = members.groupBy("region", F.pmod(draw, F.lit(count)).alias("slot")).agg(F.min(F.struct("crowd", ((F.col("n") - F.col("most")) / F.col("n")).alias("apart"), draw.alias("draw"), "point", "n", "most", "component")).alias("p"))
+    return best.select("region", F.col("p.point").alias("pivot"), F.col("p.n").alias("m"), F.col("p.most").alias("allows"), F.col("p.component").alias("other"), (F.col("slot") < PIVOTS).alias("first"))
 
 
 def sets_of(docs: DataFrame, measured: DataFrame, candidates: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
-    """(point, shingles) of the candidates, each from one document."""
-    chosen = measured.join(candidates, "point", "left_semi").groupBy("point").agg(F.min(doc_id).alias("id"))
-    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(chosen, "id"))
+    """(point, n, parity, shingles) of the candidates, each from one document."""
+    chosen = common.staged(measured.join(candidates, "point", "left_semi").groupBy("point").agg(F.min(doc_id).alias("id")).select(F.xxhash64("id").alias("id")))
+    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(chosen, "id", hashed=True))
 
     def run(batches):
-        seen = set()
+        seen = common.Seen()
         for batch in batches:
             wanted = common.inside(bits.value, batch.column(0).to_numpy())
             data, offsets = common.utf8(batch.column(1).filter(pa.array(wanted)))
             for lo, hi in common.steps(offsets):
                 h, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 point = points(h, at)
-                use = [i for i, p in enumerate(point.tolist()) if not (p in seen or seen.add(p))]
-                ends = np.cumsum([0] + [at[i + 1] - at[i] for i in use]).astype(np.int32)
-                values = np.concatenate([h[at[i] : at[i + 1]] for i in use]).view(np.int64) if use else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(point[use]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["point", "shingles"])
-
-    found = common.mapped(docs.select(F.xxhash64(doc_id), F.col(text)), run, "point long, shingles array<long>")
-    return found.join(candidates, "point", "left_semi").groupBy("point").agg(F.first("shingles").alias("shingles"))
-
-
-def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (point, pivot) with the size of the union and of the intersection.
-
-    sets is dealt by point already: only the pairs are shuffled, and then the pairs with their points' sets.
-    """
-    one = pairs.join(sets.withColumnRenamed("shingles", "a"), "point")
-    both = one.join(sets.select(F.col("point").alias("pivot"), F.col("shingles").alias("b")), "pivot")
+                use = np.flatnonzero(seen.new(point))
+                n = np.diff(at)[use]
+                values = np.concatenate([h[at[i] : at[i + 1]] for i in use]) if len(use) else h[:0]
+                group = np.repeat(np.arange(len(use)) * 64 * PARITY, n) + (values % np.uint64(64 * PARITY)).astype(np.int64)
+                odd = (np.bincount(group, minlength=len(use) * 64 * PARITY) & 1).astype(np.uint8)
+                words = np.packbits(odd, bitorder="little").view("<i8").reshape(-1, PARITY)
+                ends = pa.array(np.cumsum(np.r_[0, n]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(point[use]), *map(pa.array, words.T), pa.ListArray.from_arrays(ends, pa.array(values.view(np.int64)))], names=["point", *PARITIES, "shingles"])
+
+    found = common.mapped(docs.select(F.xxhash64(doc_id), F.col(text)), run, f"point long, {', '.join(x + ' long' for x in PARITIES)}, shingles array<long>")
+    return found.join(candidates, "point", "left_semi").groupBy("point").agg(*(F.first(x).alias(x) for x in (*PARITIES, "shingles")))
+
+
+PARITIES = [f"p{i}" for i in range(PARITY)]
+
+
+def distances(pairs: DataFrame, sets: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (point, pivot, n, m): those that may be as alike as percent by their parities, with the size of the
+    intersection and of the union."""
+    rows = pairs
+    for own, mark in (("point", "a"), ("pivot", "b")):
+        rows = rows.join(parities.select(F.col("point").alias(own), *(F.col(x).alias(f"{mark}_{x}") for x in PARITIES)), own)
+    unlike = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in PARITIES), F.lit(0))
+    both = F.col("n").cast("long") + F.col("m")
+    near = common.staged(rows.where((both - unlike) * 100 >= (both + unlike) * percent).select("point", "pivot"))
+    # the points' sets are dealt by point already; a pivot's set goes to as many places as its pairs need
+    salts = near.groupBy("pivot").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
+    salted = near.join(salts, "pivot").withColumn("salt", F.pmod(F.xxhash64("point"), F.col("salts")).cast("int")).select("point", "pivot", "salt")
+    one = salted.join(sets.select("point", F.col("shingles").alias("a")), "point")
+    other = salts.join(sets.select(F.col("point").alias("pivot"), F.col("shingles").alias("b")), "pivot").select("pivot", "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     same = F.size(F.array_intersect("a", "b"))
-    return both.select("point", "pivot", same.alias("same"), (F.size("a") + F.size("b") - same).alias("all"))
+    return one.join(other, ["pivot", "salt"]).select("point", "pivot", same.alias("same"), (F.size("a") + F.size("b") - same).alias("all"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -242,37 +334,34 @@ def linked_points(docs: DataFrame, size: int, percent: int, keep: tuple[str, ...
 
     Links within a component are looked at only as far as they are needed to tell components apart.
     """
-    spark = docs.sparkSession
     measured, sketch = measure(docs, size, "text", list(keep))
     r = (100 - percent) / 100
-    members = common.staged(ranked(regions(docs, sketch, size, percent, "text"), 0))
+    members = common.staged(regions(docs, sketch, size, percent, "text")).withColumn("component", F.col("point"))
     candidates = common.staged(members.select("point").distinct())
     sets = common.bucketed(sets_of(docs, measured, candidates, size, "text", "id"), "point")
-    known: DataFrame | None = None
-    labels = spark.createDataFrame([], "point long, component long")
-    pivots, deal = PIVOTS, 0
+    parities = common.staged(sets.drop("shingles"))
+    labels = docs.sparkSession.createDataFrame([], "point long, component long")
+    count, deal, known = PIVOTS, 0, None
     like = lambda least: F.least("n", "m") * 100 >= F.greatest("n", "m") * least  # noqa: E731  sizes that leave a distance open
+    far = 100 - 3 * (100 - percent)  # 3r, where no link is
     while not members.isEmpty():
-        chosen = members.where(F.col("rank") <= pivots).select("region", F.col("point").alias("pivot"), F.col("n").alias("m"), F.col("most").alias("allows"), F.col("component").alias("other"), F.col("rank").alias("first"))
-        pairs = members.join(chosen, "region").where(like(percent) & (F.col("component") != F.col("other")) & (F.col("rank") > F.col("first")) & (F.col("m") <= F.col("most")) & (F.col("n") <= F.col("allows")))
-        todo = pairs.select("point", "pivot").distinct()
-        if known is not None:
-            todo = todo.join(known, ["point", "pivot"], "left_anti")
-        found = common.staged(distances(todo, sets))
-        known = found if known is None else known.union(found)
+        chosen = common.staged(pivots_of(members, count, deal))
+        pairs = members.join(chosen, "region").where(like(percent) & (F.col("component") != F.col("other")) & (F.col("m") <= F.col("most")) & (F.col("n") <= F.col("allows")))
+        each = pairs.groupBy(F.least("point", "pivot").alias("x"), F.greatest("point", "pivot").alias("y")).agg(F.min(F.struct("point", "pivot", "n", "m")).alias("p"))
+        found = common.staged(distances(each.select("p.*"), sets, parities, percent))
         labels = merged(labels, found.where(F.col("same") * 100 >= F.col("all") * percent))
         # what is left: points that were no pivots, in regions that still hold two components
-        left = members.drop("component").where(F.col("rank") > pivots).join(labels, "point", "left").withColumn("component", F.coalesce("component", "point"))
-        split = left.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
-        left = common.staged(left.join(split, "region", "left_semi"))
+        rest = members.drop("component").join(chosen.select("region", F.col("pivot").alias("point")), ["region", "point"], "left_anti")
+        rest = common.staged(rest.join(labels, "point", "left").withColumn("component", F.coalesce("component", "point")))
+        left = common.staged(of_several(rest, rest, "component"))
         if left.isEmpty():
             break
-        # windows reach to 3r, where no link is: distances to the centres that the rest is dealt by
-        centres = chosen.where(F.col("first") <= PIVOTS)
-        beside = left.join(centres, "region").where(like(100 - 3 * (100 - percent))).select("point", "pivot").distinct()
-        known = known.union(common.staged(distances(beside.join(known, ["point", "pivot"], "left_anti"), sets)))
-        members = common.staged(ranked(voronoi(left, centres, known, r), deal + 1))
-        pivots, deal = 4 * pivots, deal + 1
+        # windows reach to 3r: distances to the centres that the rest is dealt by, as far as they are smaller
+        centres = chosen.where("first")
+        beside = left.join(centres, "region").where(like(far)).select("point", "pivot", "n", "m").distinct()
+        known = common.staged(distances(beside, sets, parities, far))
+        members = common.staged(voronoi(left, centres, known, r))
+        count, deal = GROWTH * count, deal + 1
     return measured, labels
 
 
@@ -292,8 +381,8 @@ def voronoi(left: DataFrame, chosen: DataFrame, known: DataFrame, r: float) -> D
     """The regions of the next round: (region, point, n, most, component)."""
     slack = 1e-9
     far = known.select("point", "pivot", (1 - F.col("same") / F.col("all")).alias("d"))
-    near = left.join(chosen.select("region", "pivot"), "region").join(far, ["point", "pivot"], "left")
-    near = near.withColumn("d", F.coalesce("d", F.lit(1.0)))  # of very unlike size: further than 3r
+    near = left.join(chosen.select("region", "pivot"), "region", "left").join(far, ["point", "pivot"], "left")
+    near = near.withColumn("d", F.coalesce("d", F.lit(1.0)))  # further than 3r, or a region without centres
     home = near.groupBy("region", "point", "n", "most", "component").agg(F.min(F.struct("d", "pivot")).alias("best"), F.collect_list(F.struct("d", "pivot")).alias("every"))
     d, own = F.col("best.d"), F.when(F.col("best.d") <= 2 * r + slack, F.col("best.pivot"))
     open_ = F.filter("every", lambda x: x["d"] <= F.least(F.when(own.isNotNull(), d + 2 * r).otherwise(F.lit(3 * r)), F.lit(3 * r)) + slack)
@@ -301,7 +390,7 @@ def voronoi(left: DataFrame, chosen: DataFrame, known: DataFrame, r: float) -> D
     rest = F.when(own.isNull() | (d > r - slack), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>"))
     to = F.array_distinct(F.concat(homes, F.transform(open_, lambda x: x["pivot"]), rest))
     dealt = home.select("region", "point", "n", "most", "component", F.explode(to).alias("to"))
-    dealt = dealt.select(F.xxhash64("region", "to").alias("region"), "point", "n", "most", "component")
+    dealt = common.staged(dealt.select(F.xxhash64("region", "to").alias("region"), "point", "n", "most", "component"))
     mixed = dealt.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("point", "most")).alias("print"), F.sum(F.xxhash64("point", "most", F.lit(1)).cast("decimal(38,0)")).alias("total")).where("lo <> hi")
     one = mixed.groupBy("size", "print", "total").agg(F.min("region").alias("region")).select("region")  # equal regions once
     return dealt.join(one, "region", "left_semi").select("region", "point", "n", "most", "component")
