@@ -3,13 +3,7 @@
 1 - Jaccard is a metric. Documents with equal sets are one point. Two points within distance r = 1 - t share one at
 least of the first |A| - ceil(t|A|) + 1 shingles of each in any fixed order, so each such shingle opens a region
 that holds all points of which it is a first one, and no link is lost. The order puts rare shingles first (by a
-count sketch of fixed size over all documents), so passages that many documents share open few regions.
-
-A first shingle that more than HOT points have would open a crowded region. Points with such a shingle meet elsewhere
-instead: linked sets of about one size differ in a bounded number d of shingles, so with all shingles dealt to d + 1 + g
-parts by hash, two linked points agree in g + 1 whole parts at least, and the content of a part opens a region. Parts
-with less than two shingles say little; a point with g such parts or fewer leaves them out, for one of those in which it
-agrees with a linked point is another. Texts made of the same templates share single shingles, but seldom a whole part.
+count sketch of fixed size over all documents), so passages that many documents share open no regions.
 
 A region then joins itself recursively. Some of its points become pivots, and all others get their distance to
 each. Links to pivots merge components. A region whose points lie in one component is done. Otherwise each point
@@ -20,8 +14,9 @@ Pivots leave, their number grows from round to round, and the recursion ends whe
 Sets are compared only if their parities (for each of 512 groups of shingles, whether the set holds an odd number) leave
 the distance open: parities that differ in k groups mean k different shingles at least.
 
-Every step is a DataFrame join or a combined aggregate, so no region is ever gathered in a task; joins on keys that may
-be hot are plain ones that adaptive execution splits, or salted by the key's count.
+Every step of the recursion is a DataFrame join or a combined aggregate, so no region is gathered in a task; joins on
+keys that may be hot are plain ones that adaptive execution splits, or salted. Only the first regions go through a
+window by region once, which streams and spills, to find the points that can have a partner there by their sizes.
 
 Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return, after lower-casing
 A-Z. Fewer words than a shingle make one shingle of all of them; null, empty and blank texts have the empty set and
@@ -35,6 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,10 +42,8 @@ SKETCH_BITS, PIECES, FAN = 21, 32, 64
 #: Pivots of a region that its points are dealt by, and are linked to in the first round; each further round links to
 #: GROWTH times as many.
 PIVOTS, GROWTH = 4, 16
-#: Points (copies in different tasks counted) from which on a first shingle opens no region.
-HOT = 64
-#: Pairs of one pivot that are compared in one place.
-TOGETHER = 256
+#: Places where the pairs of one pivot are compared.
+SALTS = 32
 #: 64-bit words of a set's parity.
 PARITY = 8
 #: Words of a shingle and percent of a link in the pipeline's stage; the query has its own.
@@ -136,45 +130,8 @@ def measure(docs: DataFrame, size: int, text: str, keep: list[str]) -> tuple[Dat
     return both.where("piece is null").drop("piece", "counts"), sketch.ravel()
 
 
-def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The least size of each class, and in how many shingles linked sets can differ of which the smaller one is of the
-    class. Linked sets are of one class or of neighbouring ones."""
-    least = [1]
-    while least[-1] < 1 << 40:
-        least.append(max(least[-1] + 1, least[-1] * 100 // percent + 1))
-    largest = np.array(least[1:], np.int64) - 1
-    return np.array(least, np.int64), (100 - percent) * (100 * largest // percent) // 100
-
-
-def signatures(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, region) for the content of each part of each set, for its own size class and the one below."""
-    least, differ = size_classes(percent)
-    spare = differ // 8 + 2
-    n = np.diff(at)
-    own, every, out = np.searchsorted(least, n, "right") - 1, np.arange(len(n)), []
-    for down in (0, 1):
-        kind = np.maximum(own - down, 0)
-        count = np.where((n > 0) & (own >= down), differ[kind] + 1 + spare[kind], 0)
-        first = np.cumsum(count) - count
-        owner = np.repeat(every, n)
-        use = count[owner] > 0
-        owner, mixed = owner[use], common.mix(h[use] ^ np.uint64(0x2545F4914F6CDD1D))
-        part = first[owner] + (mixed % count[owner].astype(np.uint64)).astype(np.int64)
-        total, filled = np.zeros(count.sum(), np.uint64), np.bincount(part, minlength=count.sum())
-        with np.errstate(over="ignore"):
-            np.add.at(total, part, mixed)
-            owner = np.repeat(every, count)
-            weak = filled < 2
-            few = np.bincount(owner, weak, len(n)) <= spare[kind]
-            key = (kind[owner] << 32 | np.arange(len(owner)) - first[owner]).astype(np.uint64)
-            region = common.mix(total + common.mix(key * np.uint64(common.BASE)))
-        take = ~(weak & few[owner])
-        out.append((owner[take], region[take]))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
 def regions(docs: DataFrame, sketch: np.ndarray, size: int, percent: int, text: str) -> DataFrame:
-    """The first regions that hold two points: a row (region, point, n, most) for each of their points.
+    """The first regions: a row (region, point, n, most) for each first shingle of each point.
 
     most is the largest partner that the row can stand for: with `at` shingles before it, the first shingle that a
     pair shares leaves it n - at common ones at most.
@@ -182,51 +139,42 @@ def regions(docs: DataFrame, sketch: np.ndarray, size: int, percent: int, text:
     # logarithmic classes of commonness are enough to put the common ones last
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(np.log2(np.maximum(sketch, 1)) * 4, 255).astype(np.uint8))
 
-    def firsts(batches):
-        """Of the sets that a task has not met of late: hashes, where each begins, points, and of each first shingle
-        its set, region and place."""
+    def run(batches):
         commonness, seen = shared.value, common.Seen()
         for batch in batches:
             data, offsets = common.utf8(batch.column(0))
             for lo, hi in common.steps(offsets):
                 h, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 n, point = np.diff(at), points(h, at)
-                count = np.where(seen.new(point) & (n > 0), n - (percent * n + 99) // 100 + 1, 0)
+                new = seen.new(point)  # not dealt by this task of late
+                first = np.where(new & (n > 0), n - (percent * n + 99) // 100 + 1, 0)
                 owner = np.repeat(np.arange(hi - lo), n)
                 order = np.lexsort((h, commonness[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))
                 place = np.arange(len(h)) - at[:-1][owner]
-                use = place < count[owner]
-                # 48 bits: should two shingles fall together, their regions are one
-                yield h, at, point, owner[use], (h[order[use]] >> np.uint64(16)).view(np.int64), place[use]
-
-    def keys(batches):
-        for _, _, point, own, region, _ in firsts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(point[own])], names=["region", "point"])
-
-    each = common.mapped(docs.select(F.col(text)), keys, "region long, point long").groupBy("region")
-    found = common.staged(each.agg(F.min("point").alias("lo"), F.max("point").alias("hi"), F.count("*").alias("times")).where("lo <> hi").select("region", "times"))
-    bits = docs.sparkSession.sparkContext.broadcast((common.bitmap(found, "region", hashed=True), common.bitmap(found.where(F.col("times") > HOT), "region", hashed=True)))
-
-    def members(batches):
-        some, crowded = bits.value
-        for h, at, point, own, region, place in firsts(batches):
-            n = np.diff(at)
-            hot = common.inside(crowded, region)
-            use = ~hot & common.inside(some, region)
-            take = own[use]
-            most = (100 + percent) * (n[take] - place[use]) // percent - n[take]
-            rows = [(region[use], take, most)]
-            sets = np.unique(own[hot])
-            if len(sets):
-                ends = np.cumsum(np.r_[0, n[sets]])
-                part, where = signatures(np.concatenate([h[at[i] : at[i + 1]] for i in sets]), ends, percent)
-                rows.append((where.view(np.int64), sets[part], 100 * n[sets[part]] // percent))
-            where, take, most = (np.concatenate(x) for x in zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(point[take]), pa.array(n[take].astype(np.int32)), pa.array(most.astype(np.int32))], names=["region", "point", "n", "most"])
-
-    rows = common.staged(common.mapped(docs.select(F.col(text)), members, "region long, point long, n int, most int"))
-    once = rows.groupBy("region", "point").agg(F.first("n").alias("n"), F.max("most").alias("most"))
-    return of_several(once, rows, "point")
+                use = place < first[owner]
+                take, own = order[use], owner[use]
+                most = (100 + percent) * (n[own] - place[use]) // percent - n[own]
+                yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(point[own]), pa.array(n[own].astype(np.int32)), pa.array(most.astype(np.int32))], names=["region", "point", "n", "most"])
+
+    return common.mapped(docs.select(F.col(text)), run, "region long, point long, n int, most int")
+
+
+def fitting(rows: DataFrame) -> DataFrame:
+    """The points of first regions that may have a partner there by their sizes.
+
+    Of a pair the smaller set must allow for the larger one, so it allows for its own size: it is a full member. A row
+    stays if it is full and the next larger set is within what it allows for, or if some full, not larger set allows
+    for it and, should it not be full itself, some full set is small enough.
+    """
+    size = W.partitionBy("region").orderBy("n", "point")
+    before = size.rowsBetween(W.unboundedPreceding, -1)
+    # copies of a point from different tasks stand side by side
+    once = rows.withColumn("copy", F.lag("point").over(size)).where("copy is null or copy <> point")
+    full = F.col("most") >= F.col("n")
+    beside = once.withColumn("next", F.lead("n").over(size)).withColumn("allowed", F.max(F.when(full, F.col("most"))).over(before)).withColumn("least", F.min(F.when(full, F.col("n"))).over(before))
+    larger = full & (F.col("next") <= F.col("most"))
+    smaller = (F.col("allowed") >= F.col("n")) & (full | (F.col("least") <= F.col("most")))
+    return beside.where(F.coalesce(larger, F.lit(False)) | F.coalesce(smaller, F.lit(False))).select("region", "point", "n", "most")
 
 
 def of_several(members: DataFrame, rows: DataFrame, what: str) -> DataFrame:
@@ -289,11 +237,10 @@ def distances(pairs: DataFrame, sets: DataFrame, parities: DataFrame, percent: i
     unlike = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in PARITIES), F.lit(0))
     both = F.col("n").cast("long") + F.col("m")
     near = common.staged(rows.where((both - unlike) * 100 >= (both + unlike) * percent).select("point", "pivot"))
-    # the points' sets are dealt by point already; a pivot's set goes to as many places as its pairs need
-    salts = near.groupBy("pivot").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
-    salted = near.join(salts, "pivot").withColumn("salt", F.pmod(F.xxhash64("point"), F.col("salts")).cast("int")).select("point", "pivot", "salt")
-    one = salted.join(sets.select("point", F.col("shingles").alias("a")), "point")
-    other = salts.join(sets.select(F.col("point").alias("pivot"), F.col("shingles").alias("b")), "pivot").select("pivot", "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    # the points' sets are dealt by point already; a pivot's set goes to all places where its pairs are
+    near = near.withColumn("salt", F.pmod(F.xxhash64("point"), F.lit(SALTS)))
+    one = near.join(sets.select("point", F.col("shingles").alias("a")), "point")
+    other = near.select("pivot", "salt").distinct().join(sets.select(F.col("point").alias("pivot"), F.col("shingles").alias("b")), "pivot")
     same = F.size(F.array_intersect("a", "b"))
     return one.join(other, ["pivot", "salt"]).select("point", "pivot", same.alias("same"), (F.size("a") + F.size("b") - same).alias("all"))
 
@@ -336,7 +283,7 @@ def linked_points(docs: DataFrame, size: int, percent: int, keep: tuple[str, ...
     """
     measured, sketch = measure(docs, size, "text", list(keep))
     r = (100 - percent) / 100
-    members = common.staged(regions(docs, sketch, size, percent, "text")).withColumn("component", F.col("point"))
+    members = common.staged(fitting(regions(docs, sketch, size, percent, "text"))).withColumn("component", F.col("point"))
     candidates = common.staged(members.select("point").distinct())
     sets = common.bucketed(sets_of(docs, measured, candidates, size, "text", "id"), "point")
     parities = common.staged(sets.drop("shingles"))
