@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -17,6 +18,9 @@ from millrace import session
 #: Bytes of text that one numpy step works on; a longer text is a step of its own, which is read in pieces of this size.
 STEP_BYTES = 1 << 19
 
+#: The most rows and bytes of a batch that goes to Python.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
 #: Odd multiplier of the polynomial hash modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -67,9 +71,27 @@ def reading(docs: DataFrame, names: list[str], text: str) -> tuple[DataFrame, Ca
 
 
 def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow, with this package on the executors."""
-    session.ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    """df.mapInArrow, with this package on the executors, in batches that are bounded by rows and by bytes.
+
+    A worker process lives on for later tasks; after each one it gives back the memory that it no longer uses.
+    """
+    spark = session.ship(df.sparkSession)
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+
+    def bounded(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps what it has
+        pass
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -88,7 +110,7 @@ def bucketed(df: DataFrame, by: str) -> DataFrame:
 class Seen:
     """What a task has met of late: a value that comes again within the last `most` different ones is not new."""
 
-    def __init__(self, most: int = 1 << 18):
+    def __init__(self, most: int = 1 << 16):
         self.most, self.values = most, set()
 
     def new(self, values: np.ndarray) -> np.ndarray:
