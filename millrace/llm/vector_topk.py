@@ -7,15 +7,16 @@ greater inner product is a smaller Euclidean distance, so a metric tree can sear
 The tree has two levels of routing objects over leaf pages. Routing objects come from a sample of bounded size
 (`SAMPLE` rows); every row is then dealt to its nearest one. Nodes keep covering radii, and all entries keep the
 distance to their parent. A large leaf, one full of equal vectors included, is cut into pages of about `PAGE`
-entries. A query first searches a page of its nearest node, which gives a bound for its k-th best. With that bound
-it goes through the tree in order of the least possible distance; |d(q,parent) - d(child,parent)| - radius spares
-distances to nodes, and the same difference spares inner products within a page. Visits are rows (query, page),
-joined with the pages in Spark and searched in groups of bounded size; nothing but the sample and the routing
-objects goes through the driver.
-
-Vectors that are null or hold null or non-finite components, and rows with a null id, take no part. Rows with the
-query's id are the query's own. Several query rows with one id count once (the least vector). Ties go to smaller
-ids; fewer than k candidates give fewer rows. An empty table gives an empty result. Other columns are not read.
+entries. A query goes through the leaves in order of the least possible distance, in rounds: its nearest leaf first,
+then four times as many in each further round, each round with the bound that the k-th best so far gives.
+|d(q,parent) - d(child,parent)| - radius spares distances to nodes, and the same difference spares inner products
+within a page. Visits are rows (query, page), joined with the queries and pages in Spark and searched in groups of
+bounded size; nothing but the sample and the routing objects goes through the driver.
+
+Vectors that are null or hold null or non-finite components, and rows with a null id, take no part. Whole numbers and
+scores beyond 64 bits are held at the ends of that range. Rows with the query's id are the query's own. Several query
+rows with one id count once (the least vector). Ties go to smaller ids; repeated rows are candidates each; fewer than
+k candidates give fewer rows. An empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 #: Rows that the routing objects are chosen from, the most routing objects of leaves, and entries of a page.
-SAMPLE, LEAVES, PAGE = 4096, 1024, 512
+SAMPLE, LEAVES, PAGE = 4096, 1024, 256
 #: Queries of a block that searches a page together.
 BLOCK = 512
-#: Relative and absolute slack of distances, against rounding.
-SLACK = 1e-9
+#: Slack of distances, relative to the largest one, against rounding; of squared ones.
+SLACK, SQUARED_SLACK = 1e-9, 1e-12
+#: How many times as many leaves each round of a search visits.
+GROWTH = 4
 
 
 def integers(rows: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -105,7 +108,7 @@ class Tree:
         """The leaves that may hold something within the bound, nearest first, with their distances."""
         out = []
         inner = np.sqrt(((self.inner - q) ** 2).sum(1))
-        slack = SLACK * (1 + np.abs(inner).max())
+        slack = SLACK * (1 + np.abs(inner).max() + (bound if np.isfinite(bound) else 0))
         for i in np.argsort(inner - self.inner_radius):
             if inner[i] - self.inner_radius[i] > bound + slack:
                 break
@@ -126,12 +129,21 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))
 
 
-def searched(visits: DataFrame, pages: DataFrame, width: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the best k of each visit (query_id, node, page, block, q, d, floor) in its page.
+def dots(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products, exact as long as they fit into 64 bits, else the end of that range."""
+    most = float(np.abs(v.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * max(len(q), 1)
+    if most < 2**52:
+        return (v.astype(float) @ q.astype(float)).astype(np.int64)
+    if most < 2**62:
+        return v @ q
+    return np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in v.astype(object) @ q.astype(object)], np.int64)
+
+
+def searched(visits: DataFrame, asked: DataFrame, pages: DataFrame, width: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best k of each visit (query_id, node, page, block, d, reach) in its page.
 
     d is the query's distance to the node's routing object, reach how far from the query a result may be.
     """
-    visits = common.staged(visits)
     needed = visits.select(F.col("node").alias("n"), F.col("page").alias("p"), F.col("block").alias("b")).distinct()
     entries = needed.join(pages, (F.col("n") == F.col("node")) & (F.col("p") == F.col("page"))).select("n", "p", "b", "parent", "vec_id", "v")
 
@@ -139,22 +151,21 @@ def searched(visits: DataFrame, pages: DataFrame, width: int, k: int) -> DataFra
         order = np.argsort(page["parent"].to_numpy(), kind="stable")
         parent, ids = page["parent"].to_numpy()[order], page["vec_id"].to_numpy()[order]
         v, q = matrix(page["v"], width)[order], matrix(queries["q"], width)
-        if len(v) and len(q) and float(np.abs(v).max()) * float(np.abs(q).max()) * max(width, 1) < 2**52:
-            v, q = v.astype(float), q.astype(float)
         out: list[tuple[np.ndarray, ...]] = []
         d, reach, own = queries["d"].to_numpy(), queries["reach"].to_numpy(), queries["query_id"].to_numpy()
-        slack = SLACK * (1 + d + reach)
+        slack = SLACK * (1 + d + np.where(np.isfinite(reach), reach, 0))
         lo, hi = np.searchsorted(parent, d - reach - slack), np.searchsorted(parent, d + reach + slack, "right")
         for i in np.flatnonzero(hi > lo):
             part = slice(lo[i], hi[i])
-            scores = v[part] @ q[i]
+            scores = dots(v[part], q[i])
             use = np.flatnonzero(ids[part] != own[i])
             at = use[best(ids[part][use], scores[use], k)]
-            out.append((np.full(len(at), own[i]), ids[part][at], scores[at].astype(np.int64)))
+            out.append((np.full(len(at), own[i]), ids[part][at], scores[at]))
         cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table([pa.array(x, pa.int64()) for x in cols], names=["query_id", "vec_id", "score"])
 
-    return visits.groupBy("node", "page", "block").cogroup(entries.groupBy("n", "p", "b")).applyInArrow(search, "query_id long, vec_id long, score long")
+    full = visits.join(asked.select("query_id", "q"), "query_id")
+    return full.groupBy("node", "page", "block").cogroup(entries.groupBy("n", "p", "b")).applyInArrow(search, "query_id long, vec_id long, score long")
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
@@ -164,7 +175,7 @@ def top(found: DataFrame, k: int) -> DataFrame:
 
 def vector_topk(rows: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query with all rows but its own."""
-    every = common.staged(integers(rows, vec_id, vector, scale).withColumn("length", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)))
+    every = common.staged(integers(rows, vec_id, vector, scale).withColumn("length", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
     facts = every.agg(F.count("*").alias("n"), F.max("length").alias("most"), F.max(F.size("v")).alias("width")).first()
     asked = integers(queries, vec_id, vector, scale).groupBy("vec_id").agg(F.min("v").alias("q")).withColumnRenamed("vec_id", "query_id")
     if not facts["n"]:
@@ -173,7 +184,7 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "
     n, most, width = facts["n"], facts["most"], max(facts["width"], sizes["width"] or 0)
     blocks = max(1, -(-sizes["n"] // BLOCK))
     few = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    tree = Tree(np.unique(lifted(matrix(few["v"], width), most), axis=0), min(LEAVES, max(1, n // PAGE)))
+    tree = Tree(np.unique(lifted(matrix(few["v"], width), most), axis=0), min(LEAVES, -(-n // PAGE)))
     shared = rows.sparkSession.sparkContext.broadcast(tree)
 
     def deal(batches):
@@ -187,40 +198,48 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "
     stats = leaves.groupBy("node").agg(F.max("parent").alias("radius"), F.count("*").alias("n")).collect()
     tree.settle({r["node"]: (r["radius"], r["n"]) for r in stats})
     count = F.create_map(*(F.lit(x) for r in stats for x in (r["node"], -(-r["n"] // PAGE))))[F.col("node")]
-    pages = leaves.withColumn("page", F.pmod(F.xxhash64("vec_id", "v"), count).cast("int"))
+    pages = leaves.withColumn("page", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), count).cast("int"))
     ready = rows.sparkSession.sparkContext.broadcast(tree)
-    schema = "query_id long, q array<long>, node int, page int, d double, reach double, block int"
-
-    def visits(batches):
-        """Of queries (query_id, q, floor): the first page to search if floor is null, else all pages within reach."""
-        tree = ready.value
-        for batch in batches:
-            q = matrix(batch.column(1), width).astype(float)
-            for i, (own, floor) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                x = np.append(q[i], 0.0)
-                if floor is None:
-                    full = np.flatnonzero(tree.pages)
-                    d = np.sqrt(((tree.leaf[full] - x) ** 2).sum(1))
-                    at = d.argmin()
-                    rows_ = [(int(full[at]), own % int(tree.pages[full[at]]), float(d[at]), np.inf)]
-                else:
-                    reach = np.inf if floor < -(2**62) else float(np.sqrt(max((q[i] ** 2).sum() + most - 2 * floor, 0)))
-                    rows_ = [(n, p, d, reach) for n, d in tree.visit(x, reach) for p in range(int(tree.pages[n]))]
-                for lo in range(0, len(rows_), 4096):
-                    part = list(zip(*rows_[lo : lo + 4096]))
-                    m = len(part[0])
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([own] * m, pa.int64()), batch.column(1).take(pa.array([i] * m)), pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()),
-                        pa.array(part[2], pa.float64()), pa.array(part[3], pa.float64()), pa.array([own % blocks] * m, pa.int32()),
-                    ], names=["query_id", "q", "node", "page", "d", "reach", "block"])
-
-    asked = common.staged(asked)
-    first = common.mapped(asked.withColumn("floor", F.lit(None).cast("long")), visits, schema)
-    seed = searched(first, pages, width, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    floor = F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-(2**63 - 1)))
-    bound = common.staged(asked.join(seed, "query_id", "left").select("query_id", "q", F.coalesce(floor, F.lit(-(2**63 - 1))).alias("floor")))
-    found = searched(common.mapped(bound.repartition(common.parallel(rows.sparkSession)), visits, schema), pages, width, k)
-    return top(found, k).select("query_id", "rank", "vec_id", "score")
+    schema = "query_id long, node int, page int, d double, reach double, block int"
+
+    def visits(lo: int, hi: int):
+        """Of queries (query_id, q, floor): the pages of their lo-th to hi-th nearest leaves, as far as they are within reach."""
+
+        def run(batches):
+            tree = ready.value
+            for batch in batches:
+                q = matrix(batch.column(1), width).astype(float)
+                for i, (own, floor, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)))):
+                    size = (q[i] ** 2).sum() + most
+                    reach = np.inf if floor is None else float(np.sqrt(max(size - 2 * floor, 0) + SQUARED_SLACK * size))
+                    rows_ = [(n, p, d) for n, d in tree.visit(np.append(q[i], 0.0), reach)[lo:hi] for p in range(int(tree.pages[n]))]
+                    for at in range(0, len(rows_), 4096):
+                        part = list(zip(*rows_[at : at + 4096]))
+                        m = len(part[0])
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([own] * m, pa.int64()), pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()),
+                            pa.array(part[2], pa.float64()), pa.array([reach] * m, pa.float64()), pa.array([block] * m, pa.int32()),
+                        ], names=["query_id", "node", "page", "d", "reach", "block"])
+
+        return run
+
+    asked = common.staged(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")))
+    found, lo, hi = None, 0, 1
+    while True:
+        bound = asked.withColumn("floor", F.lit(None).cast("long"))
+        if found is not None:  # k results give a bound; fewer give none
+            seed = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+            bound = asked.join(seed, "query_id", "left").withColumn("floor", F.when(F.col("n") >= k, F.col("least")))
+        dealt = bound.select("query_id", "q", "floor", "block").repartition(common.parallel(rows.sparkSession))
+        todo = common.staged(common.mapped(dealt, visits(lo, hi), schema))
+        if found is not None and todo.isEmpty():
+            break
+        new = searched(todo, asked, pages, width, k)
+        found = common.staged(top(new if found is None else found.select("query_id", "vec_id", "score").unionByName(new), k))
+        if hi >= len(tree.leaf):
+            break
+        lo, hi = hi, hi + (hi - lo) * GROWTH
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op8_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

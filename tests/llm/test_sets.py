@@ -223,3 +223,30 @@ def test_topk_of_few(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, vector_topk.vector_topk(frame, frame.where("vec_id = 0")).collect())) == [(0, 1, 1, 131072)]
     assert vector_topk.vector_topk(frame.limit(0), frame.limit(0)).count() == 0
+
+
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(0, 9)).tolist()) for i in range(300)] + [(350, [1e30, 0.0, 0.0, 0.0]), (351, [-1e30, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    top = 2**63 - 1
+    whole = [(i, [max(-top - 1, min(top, int(np.floor(256 * x)))) for x in v]) for i, v in rows]
+    want = []
+    for q, x in whole:
+        if q % 50 == 0:
+            scores = [(max(-top - 1, min(top, sum(a * b for a, b in zip(x, y)))), i) for i, y in whole if i != q]
+            want += [(q, n + 1, i, s) for n, (s, i) in enumerate(sorted(scores, key=lambda p: (-p[0], p[1]))[:5])]
+    got = vector_topk.vector_topk(frame, frame.where("vec_id % 50 = 0"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_topk_of_clustered_vectors_spares_pages(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = 3 * rng.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + 0.02 * rng.normal(size=16)).tolist()) for i in range(8000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen, old = [], vector_topk.searched
+    monkeypatch.setattr(vector_topk, "searched", lambda todo, *a: (seen.append(todo.count()), old(todo, *a))[1])
+    got = vector_topk.vector_topk(frame, frame.where("vec_id % 50 = 0")).collect()
+    assert sorted(map(tuple, got)) == brute_topk(rows, 5)
+    assert sum(seen) < 160 * 32 / 2  # half of all pairs of query and leaf at most
