@@ -9,8 +9,9 @@ many kinds of frames around an article. Leaves whose marginal is a half or more
 
 Scripts, styles, comments and what a browser doesn't show never become nodes. Character references are decoded,
 white space inside a block becomes one space, and blocks are joined in page order by a line break. Null or empty
-html gives an empty text. Rows are treated one by one, so repeated ids stay; other columns are not read. An empty
-table gives an empty result.
+html gives an empty text. Elements that are hidden by an attribute or by their style are left out with all they hold, if
+something closes them. Rows are treated one by one, so repeated ids stay; other columns are not read, whatever their
+names. Very long and deeply nested pages are read in one pass. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ PAGES, STEPS, RATE, PENALTY = 500, 120, 0.2, 2e-4
 
 # Elements of HTML by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template iframe svg math canvas object head title select option datalist audio video map textarea".split())
-RAW = frozenset("script style noscript template iframe svg math canvas textarea title xmp".split())
+HIDDEN = frozenset("script style noscript template iframe svg canvas object head title select option datalist audio video map textarea".split())
+RAW = frozenset("script style noscript template iframe svg canvas textarea title xmp".split())
 BLOCK = frozenset(
     "html body main article section aside nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption form fieldset legend label button details summary dialog address hgroup search menu center".split()
 )
@@ -48,10 +49,29 @@ SCOPE = frozenset("ul ol table dl article section main aside div body".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)[^>]*+(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDE = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_UNSEEN = re.compile(r"(?<![\w-])hidden(?![\w-])(?!\s*=\s*false)", re.I)
+_STYLE = re.compile(r"(?<![\w-])style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _SPLIT = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def unseen(attributes: str) -> bool:
+    """Whether an element with these attributes is hidden by itself."""
+    low = attributes.lower()
+    return ("hidden" in low and bool(_UNSEEN.search(_QUOTED.sub("", attributes)))) or ("style" in low and bool(_STYLE.search(attributes)))
+
+
+def after(source: str, at: int, name: str) -> int | None:
+    """Where an element that was opened before `at` ends; None if nothing closes it."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(name)}(?![^\s/>])[^>]*+>", re.I).finditer(source, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return None
+
+
 class Page:
     """The tree of a page: parents come before their children, and leaves stand in page order."""
 
@@ -87,10 +107,16 @@ class Page:
                     self._leaf(stack[-1][1] if stack else root, joined, linked)
             linked = 0
 
+        opened: dict[str, int] = {}
+
         def close(names: frozenset[str], scope: frozenset[str]) -> None:
+            if not any(map(opened.get, names)):
+                return
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in names:
                     flush()
+                    for x, _ in stack[i:]:
+                        opened[x] -= 1
                     del stack[i:]
                     return
                 if stack[i][0] in scope:
@@ -124,6 +150,10 @@ class Page:
                     at = end if not stop else stop.start() if stop[0][1] != "/" else stop.end()
                 text.append(" ")
                 continue
+            if name not in VOID and unseen(m[3]) and (to := after(source, at, name)) is not None:
+                text.append(" ")
+                at = to
+                continue
             if name == "a":
                 anchors = 1
             elif name in ("br", "hr", "img", "input", "wbr"):
@@ -143,6 +173,7 @@ class Page:
             if self.marked:
                 label = 1 if 'data-y="1"' in m[3] else 0 if 'data-y="0"' in m[3] else label
             stack.append((name, self._node(up, traits, label)))
+            opened[name] = opened.get(name, 0) + 1
         flush()
 
     def _leaf(self, parent: int, text: str, linked: int) -> None:
@@ -247,6 +278,8 @@ def labelled_pages(count: int, seed: int = 7) -> list[str]:
                 parts.append(f"<blockquote>{words(4, 50)}</blockquote>")
             elif roll < 0.91:
                 parts.append(f"<table><tr><td>{words(1, 5, '')}</td><td>{words(1, 8, '')}</td></tr></table>")
+            elif roll < 0.92:
+                parts.append(f"<p><a href=\"/y\">{words(2, 14, rng.choice(['', '.']))}</a>{rng.choice(['', '.', ' ' + words(1, 3, '')])}</p>")
             elif roll < 0.93:
                 parts.append(f"<figure><img><figcaption>{words(2, 14)}</figcaption></figure>")
             else:

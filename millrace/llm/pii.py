@@ -14,6 +14,7 @@ repeated ids stay; other columns are not read. An empty table gives an empty res
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ LOOKALIKES = dict(zip(
 ))
 #: The full-width forms of all of ASCII.
 LOOKALIKES |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
+#: All further characters that stand for one sign of ASCII, by their compatibility forms: bold, circled and other letters.
+LOOKALIKES |= {chr(c): n for c in range(0x340, 0x20000) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and "!" <= n <= "~" and chr(c) not in LOOKALIKES}
 #: Characters without width.
 INVISIBLE = "­᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
 #: Digits spelled in English, German, French and Spanish.
@@ -64,13 +67,19 @@ _TOP = rf"(?:{'|'.join(TOP)})(?![A-Za-z0-9-])"
 #: Any last label may follow a domain that is no plain prose, and an @ if all dots are words; those of TOP end any domain.
 _WORDY = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:"
-    rf"(?P<at>\x20+(?:at|arroba)\x20+)(?:(?!(?:{'|'.join(NO_DOMAIN)})\x20)[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9-])"
+    rf"(?P<at>\x20+(?:at|ät|arroba)\x20+)(?:(?!(?:{'|'.join(NO_DOMAIN)})\x20)[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9-])"
     rf"|[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*{_DOT}{_TOP})"
     rf"|(?P<sign>\x20*@\x20*)(?:[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9-])"
     rf"|[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*{_DOT}{_TOP}))",
     re.I,
 )
 _WORDY_DOT = re.compile(_DOT, re.I)
+#: An address with spaces around its signs, under a listed top-level domain.
+_SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\x20+@\x20*|@\x20+)[A-Za-z0-9-]+(?:(?:\x20+\.\x20+|\.)[A-Za-z0-9-]+)*(?:\x20+\.\x20+|\.){_TOP}", re.I)
+_SPACED_DOT = re.compile(r"\x20+\.\x20+")
+#: Digits with letters among them that look like digits.
+_MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[OoIl]*[0-9])[0-9OoIl]*[OoIl][0-9OoIl]*(?![A-Za-z0-9])")
+_DIGIT_LIKE = str.maketrans("OoIl", "0011")
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _NUMBER = re.compile(rf"(?:\b(?:plus|oh)[\x20-]+)?(?<!\w)(?:{_WORD}|[0-9]+)(?:(?:[\x20,-]+|[\x20]*\.[\x20]*|[\x20]+(?:dot|punkt|punto|point)[\x20]+)(?:oh|{_WORD}|[0-9]+))+(?!\w)", re.I)
 _SPELLED, _NEXT = re.compile(rf"\b(?:oh|{_WORD})\b", re.I), re.compile(r"[.,]\x20")
@@ -162,13 +171,26 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _spaced(text: str) -> list[tuple[int, int, str]]:
+    out = []
+    for m in _SPACED.finditer(text):
+        out += [(*m.span("at"), "@"), *((*d.span(), ".") for d in _SPACED_DOT.finditer(text, m.end("at"), m.end()))]
+    return out
+
+
+def _mixed(text: str) -> list[tuple[int, int, str]]:
+    return [(i, i + 1, text[i].translate(_DIGIT_LIKE)) for m in _MIXED.finditer(text) for i in range(*m.span()) if text[i] in "OoIl"]
+
+
 def signs_of_disguise(text: str, odd: bool) -> list:
     """The transducers that have something to do in the text. odd: whether it has characters beyond Latin ones."""
     low = text.lower()
     bracket = any(c in text for c in "[({<") or odd
     dots = any(f" {w} " in low for w in ("dot", "punkt", "punto"))
     number = dots or " point " in low or any(w in low for w in SPELLED)
-    return [f for f, use in ((_looks, odd), (_signs, bracket), (_wordy, dots), (_numbers, number)) if use]
+    spaced = odd or " @" in text or "@ " in text
+    mixed = odd or _MIXED.search(text) is not None
+    return [f for f, use in ((_looks, odd), (_signs, bracket), (_spaced, spaced), (_wordy, dots), (_mixed, mixed), (_numbers, number)) if use]
 
 
 def _adds_little(text: str, base: tuple[int, int, int], own: tuple[int, int, int]) -> bool:
