@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.plans import aggregates, extensions, formats, joins, reports, scalars, selections, streams, windows
+from millrace.plans import aggregates, extensions, extras, formats, joins, reports, scalars, selections, streams, windows
 from millrace.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (reports, selections, joins, aggregates, windows, scalars, formats, extensions, streams):
+for _module in (reports, selections, joins, aggregates, windows, scalars, formats, extensions, extras, streams):
     QUERIES |= _module.R.queries
     ORACLE_SQL |= _module.R.oracle

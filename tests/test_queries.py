@@ -40,3 +40,23 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sorted_table_has_nulls_last(spark):
+    got = [(r["k"], r["n"]) for r in plans.QUERIES["sort_nulls_last"](spark, SF).collect()]
+    assert got == sorted(got, key=lambda r: (r[0] is None, -(r[0] or 0), r[1])) and got[-1][0] is None
+
+
+def test_frequent_items_and_median(spark, con):
+    got = plans.QUERIES["frequent_items"](spark, SF).first()
+    n, median = con.sql("SELECT count(*), median(value) FROM events").fetchone()
+    assert got["n"] == n and len(got["users"]) == 5 and abs(got["median"] - median) < 0.1 * median
+
+
+def test_partitioned_read_is_pruned(spark):
+    from millrace import session
+    from millrace.sources import partitioned
+
+    rows = partitioned(session.table(spark, SF, "events"), "event_type").where("event_type = 'click'")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_type" in plan and len(rows.inputFiles()) > 1
