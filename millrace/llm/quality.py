@@ -9,8 +9,10 @@ Training takes about `most` labelled rows, chosen by a hash of the id (a documen
 whole text). Its rows are dealt to a fixed number of shards; each shard runs FTRL over its rows from the shared
 state, and the states are averaged after each round. Weights have a fixed size and are broadcast.
 
-Rows with null text or null label are not learned from. Null and empty texts get the score of the bias alone.
-Without any label the score is 0.5. Rows are scored one by one, so repeated ids stay.
+Rows with null text or null label are not learned from; an id with several labels has the largest. Null and empty texts
+get the score of the bias alone. Without any label the score is 0.5. Very long texts are read in pieces that end with
+white space, over which n-grams don't reach. Rows are scored one by one, so repeated ids stay; other columns are not read,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +41,22 @@ for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all texts: the row, the bucket and the value of each feature, by row."""
     rows = len(offsets) - 1
+    if rows == 1 and len(data) > common.STEP_BYTES:  # a long text: piece by piece
+        every = np.zeros(1 << BITS, np.int64)
+        for a, b in common.pieces(data, _KIND == 0):
+            key, count = counted(data[a:b], np.array([0, b - a]))
+            every[key] += count
+        key = np.flatnonzero(every)
+        count = every[key]
+    else:
+        key, count = counted(data, offsets)
+    owner, bucket, value = key >> BITS, key & ((1 << BITS) - 1), np.log1p(count)
+    length = np.sqrt(np.bincount(owner, value * value, rows))
+    return owner, bucket, value / length[owner]
+
+
+def counted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features that occur (row << BITS | bucket), in order, and how often."""
     start, end = common.runs(data, offsets, _KIND)
     row = np.searchsorted(offsets, start, "right") - 1
     word = common.mix(common.span_hash(common.prefix_hash(common.LOWER[data]), start, end))
@@ -55,10 +73,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         parts = [word, word[:-1][two] * np.uint64(3) + word[1:][two], shape + np.uint64(77), shape[:-1][two] * np.uint64(5) + shape[1:][two] + np.uint64(99), np.full(again.sum(), 55, np.uint64), np.full(later.sum(), 55, np.uint64)]
     owner = np.concatenate([row, row[:-1][two], row, row[:-1][two], row[:-1][again], row[:-2][later]])
     bucket = (common.mix(np.concatenate(parts)) >> np.uint64(64 - BITS)).astype(np.int64)
-    key, count = np.unique(owner << BITS | bucket, return_counts=True)
-    owner, bucket, value = key >> BITS, key & ((1 << BITS) - 1), np.log1p(count)
-    length = np.sqrt(np.bincount(owner, value * value, rows))
-    return owner, bucket, value / length[owner]
+    return np.unique(owner << BITS | bucket, return_counts=True)
 
 
 def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:

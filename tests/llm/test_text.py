@@ -269,3 +269,52 @@ def test_query_of_personal_data(spark, tmp_path):
         n = [sum(b.startswith(k + ":") for b in base) for k in pii.KINDS]
         want.append((d, *n, sha(",".join(base)), "email:0:21" if d == 3 else ",".join(base)))
     assert got == sorted(want, key=str)
+
+
+def test_features_of_long_texts_are_those_of_their_pieces(monkeypatch):
+    import pyarrow as pa
+
+    data, offsets = common.utf8(pa.array(["Some words, and more of them. " * 200]))
+    whole = quality.features(data, offsets)
+    monkeypatch.setattr(common, "STEP_BYTES", 600)
+    monkeypatch.setattr(common.pieces, "__defaults__", (600,))
+    parts = quality.features(data, offsets)
+    assert (whole[1] == parts[1]).all() and np.abs(whole[2] - parts[2]).max() < 0.05 and abs((parts[2] ** 2).sum() - 1) < 1e-9
+    assert list(common.pieces(data[:5], quality._KIND == 0)) == [(0, 5)]
+
+
+def test_language_model_is_that_of_a_plain_loop(spark):
+    import math
+
+    def grams(t):
+        c = [32] * 3 + [ord(x.lower()[0]) if x.isalpha() else 32 for x in t or ""] + [32] * 2
+        for i in range(len(c) - 2):
+            a, b, d = (x != 32 for x in c[i : i + 3])
+            h = (c[i] * 0x9E3779B97F4A7C15 + 1) % 2**64
+            for k, (use, f) in enumerate(((a, 0), (a or b, 0xC2B2AE3D27D4EB4F), ((a and b) or (b and d), 0x165667B19E3779F9))):
+                h = (h * 31 + c[i + k] * f) % 2**64 if k else h
+                if use:
+                    x = h
+                    for shift, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                        x = ((x ^ x >> shift) * m) % 2**64
+                    yield ((x ^ x >> 31) >> 40) % language_id.BUCKETS
+
+    docs = [(1, "The cat sat on the mat.", "en"), (2, "A dog and the cat", "en"), (3, "Der Hund und die Katze", "de"), (4, "Über Straßen", "de"), (5, None, "de"), (6, "12 !", "fr"), (7, "no language", None)]
+    asked = [(10, "the DOG"), (11, "die straße"), (12, None), (13, "--"), (14, "x"), (14, "x"), (None, "und the")]
+    counts, priors = {}, {}
+    for _, t, lang in docs:
+        if t is not None and lang:
+            priors[lang] = priors.get(lang, 0) + 1
+            counts.setdefault(lang, [])
+            counts[lang] += grams(t)
+    langs = sorted(x for x in counts if counts[x])
+    total = sum(priors[x] for x in langs)
+    want = []
+    for d, t in asked:
+        found = list(grams(t))
+        sums = [math.log(priors[x] / total) + sum(math.log((counts[x].count(g) + language_id.SMOOTHING) / (len(counts[x]) + language_id.SMOOTHING * language_id.BUCKETS)) for g in found) for x in langs]
+        best = max(range(len(langs)), key=sums.__getitem__)
+        want.append((str(d), langs[best], round(1 / sum(math.exp(s - sums[best]) for s in sums), 6)) if found else (str(d), "und", 0.0))
+    model = language_id.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    got = language_id.predict(spark.createDataFrame([(*a, "clash") for a in asked], "doc_id long, text string, lang_pred string"), model).collect()
+    assert sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 6)) for r in got) == sorted(want)
