@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -283,7 +284,8 @@ def test_features_of_long_texts_are_those_of_their_pieces(monkeypatch):
     assert list(common.pieces(data[:5], quality._KIND == 0)) == [(0, 5)]
 
 
-def test_language_model_is_that_of_a_plain_loop(spark):
+def plain_language(docs, asked):
+    """(id, language, score) of the asked (id, text), by loops over docs (id, text, language)."""
     import math
 
     def grams(t):
@@ -299,8 +301,6 @@ def test_language_model_is_that_of_a_plain_loop(spark):
                         x = ((x ^ x >> shift) * m) % 2**64
                     yield ((x ^ x >> 31) >> 40) % language_id.BUCKETS
 
-    docs = [(1, "The cat sat on the mat.", "en"), (2, "A dog and the cat", "en"), (3, "Der Hund und die Katze", "de"), (4, "Über Straßen", "de"), (5, None, "de"), (6, "12 !", "fr"), (7, "no language", None)]
-    asked = [(10, "the DOG"), (11, "die straße"), (12, None), (13, "--"), (14, "x"), (14, "x"), (None, "und the")]
     counts, priors = {}, {}
     for _, t, lang in docs:
         if t is not None and lang:
@@ -309,12 +309,123 @@ def test_language_model_is_that_of_a_plain_loop(spark):
             counts[lang] += grams(t)
     langs = sorted(x for x in counts if counts[x])
     total = sum(priors[x] for x in langs)
-    want = []
+    out = []
     for d, t in asked:
         found = list(grams(t))
         sums = [math.log(priors[x] / total) + sum(math.log((counts[x].count(g) + language_id.SMOOTHING) / (len(counts[x]) + language_id.SMOOTHING * language_id.BUCKETS)) for g in found) for x in langs]
         best = max(range(len(langs)), key=sums.__getitem__)
-        want.append((str(d), langs[best], round(1 / sum(math.exp(s - sums[best]) for s in sums), 6)) if found else (str(d), "und", 0.0))
-    model = language_id.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+        out.append((str(d), langs[best], round(1 / sum(math.exp(s - sums[best]) for s in sums), 6)) if found else (str(d), "und", 0.0))
+    return out
+
+
+LANGUAGES = [(1, "The cat sat on the mat.", "en"), (2, "A dog and the cat", "en"), (3, "Der Hund und die Katze", "de"), (4, "Über Straßen", "de"), (5, None, "de"), (6, "12 !", "fr"), (7, "no language", None)]
+
+
+def test_language_model_is_that_of_a_plain_loop(spark):
+    asked = [(10, "the DOG"), (11, "die straße"), (12, None), (13, "--"), (14, "x"), (14, "x"), (None, "und the")]
+    model = language_id.fit(spark.createDataFrame(LANGUAGES, "doc_id long, text string, lang string"))
     got = language_id.predict(spark.createDataFrame([(*a, "clash") for a in asked], "doc_id long, text string, lang_pred string"), model).collect()
-    assert sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 6)) for r in got) == sorted(want)
+    assert sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 6)) for r in got) == sorted(plain_language(LANGUAGES, asked))
+
+
+def test_language_stage_keeps_what_a_plain_loop_keeps(spark):
+    docs = LANGUAGES + [(8, "the the", "xx"), (8, "the the", "xx"), (9, "??", "en"), (None, "die Katze", "de"), (11, "", None), (12, "q", "en")]
+    docs += [(20 + i, t, "en" if i % 2 else "it") for i, t in enumerate(["zw", "una casa", "a house", "il gatto e il cane", "cats", "o"])]
+    learned = [d for d in docs if d[0] is None or zlib.crc32(str(d[0]).encode()) % 4 != 2]
+    assert 0 < len(learned) < len(docs)
+    found = plain_language(learned, [(i, d[1]) for i, d in enumerate(docs)])
+    want = [(*docs[int(i)], "clash") for i, lang, score in found if lang != "und" and score >= 0.5]
+    rows = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, lang string, score string")
+    got = language_id.stage(spark, rows, "")
+    assert got.columns == rows.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert language_id.stage(spark, rows.limit(0), "").count() == 0
+
+
+def test_decontamination_stage_is_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    text = lambda n: " ".join(rng.choice(["a", "B", "ü"]) for _ in range(n))
+    items = [(1, text(12)), (2, text(10)), (2, "x Y"), (3, None), (4, "--"), (None, text(11))]
+    docs = [(rng.randrange(40) or None, text(rng.randrange(30)) + rng.choice(["", " x-y.", " x a y"]), "n") for _ in range(80)]
+    docs += [(50 + i, f"so {t}, too", "n") for i, (_, t) in enumerate(items)] + [(60, None, "n"), (61, "", "n"), docs[0]]
+    windows = set()
+    for _, t in items:
+        w = words(t)
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    hit = lambda w: any(tuple(w[i : i + len(x)]) == x for x in windows for i in range(len(w) - len(x) + 1))
+    want = [d for d in docs if not hit(words(d[1]))]
+    assert 10 < len(want) < len(docs) - 10
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = spark.createDataFrame(docs, "doc_id long, text string, items string")
+    got = decontamination.stage(spark, rows, str(tmp_path))
+    assert got.columns == rows.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert decontamination.stage(spark, rows.limit(0), str(tmp_path)).count() == 0
+
+
+def test_bpe_stage_is_the_library(spark, odd, tiktoken_encoding):
+    got = [(r["doc_id"], r["n_tokens"], r["ids"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.stage(spark, odd, "").collect()]
+    want = []
+    for r in odd.collect():
+        ids = tiktoken_encoding.encode_ordinary(r["text"] or "")
+        sha = [hashlib.sha256(x).hexdigest() for x in (np.array(ids, "<u4").tobytes(), (r["text"] or "").encode())]
+        want.append((r["doc_id"], len(ids), ids, *sha))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def plain_features(text):
+    """Feature -> value, each feature by its name instead of a bucket."""
+    token = re.findall(r"[0-9A-Za-z]+|[!-/:-@\[-`{-~]+", text)
+    punct = [not t[0].isalnum() for t in token]
+    shape = [t if p else 1 if not re.search("[A-Za-z]", t) else 2 if not re.search("[a-z]", t) else 3 if t[0].isupper() else 4 for t, p in zip(token, punct)]
+    word = [t.lower() for t in token]
+    found = [("word", w) for w in word] + [("shape", s) for s in shape]
+    found += [("words", *x) for x in zip(word, word[1:])] + [("shapes", *x) for x in zip(shape, shape[1:])]
+    found += ["again" for x, y in zip(word, word[1:]) if x == y] + ["again" for x, y, p in zip(word, word[2:], punct[2:]) if x == y and not p]
+    value = {f: np.log1p(found.count(f)) for f in found}
+    length = sum(v * v for v in value.values()) ** 0.5
+    return {f: v / length for f, v in value.items()}
+
+
+def plain_quality(rows, shards, rounds):
+    """Weights by feature from rows (id, text, label), by loops."""
+    import pandas as pd
+
+    examples = [(i, label, {**plain_features(t), "bias": 1.0}) for i, t, label in rows if t is not None and label is not None]
+    state = {}
+
+    def weight(zn):
+        z, n = zn
+        return 0.0 if abs(z) <= quality.L1 else -(z - (1 if z > 0 else -1) * quality.L1) / ((quality.BETA + n**0.5) / quality.ALPHA + quality.L2)
+
+    for turn in range(rounds):
+        total = {}
+        for shard in range(shards):
+            own = [e for e in examples if zlib.crc32(f"deal{e[0]}".encode()) % shards == shard]
+            mixed = dict(zip((e[0] for e in own), pd.util.hash_array(np.array([str(e[0]) for e in own], object)).tolist()))
+            now = dict(state)
+            for _, label, x in sorted(own, key=lambda e: (mixed[e[0]] ^ turn * 0x9E3779B9, str(e[0]))):
+                w = {f: weight(now.get(f, (0.0, 0.0))) for f in x}
+                p = 1 / (1 + np.exp(-sum(w[f] * v for f, v in x.items())))
+                for f, v in x.items():
+                    z, n = now.get(f, (0.0, 0.0))
+                    g = (p - label) * v
+                    now[f] = z + g - ((n + g * g) ** 0.5 - n**0.5) / quality.ALPHA * w[f], n + g * g
+            for f, (z, n) in now.items():
+                a, b = total.get(f, (0.0, 0.0))
+                total[f] = a + z * len(own) / len(examples), b + n * len(own) / len(examples)
+        state = total
+    return {f: weight(zn) for f, zn in state.items()}
+
+
+def test_quality_model_is_that_of_plain_loops(spark):
+    rng = random.Random(3)
+    good, bad = ["The", "river", "runs", "South.", "It", "is", "old"], ["BUY", "now!!", "now", "9", "$$$", "click", "here"]
+    text = lambda own, other: " ".join(rng.choice(own if rng.random() < 0.8 else other) for _ in range(rng.randrange(1, 12)))
+    rows = [(i, *((text(good, bad), 1) if i % 3 else (text(bad, good), 0))) for i in range(60)] + [(100, None, 1), (101, "no label", None), (102, "", 0)]
+    w = plain_quality(rows, 2, 3)
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string, quality int"), shards=2, rounds=3)
+    asked = [(200 + i, text(good, bad) if i % 2 else text(bad, good)) for i in range(20)] + [(300, None), (300, ""), (None, "The river"), (301, "unseen words")]
+    want = [(str(d), 1 / (1 + np.exp(-w["bias"] - sum(w.get(f, 0) * v for f, v in plain_features(t or "").items())))) for d, t in asked]
+    got = [(str(r["doc_id"]), r["own"]) for r in quality.score(spark.createDataFrame([(*a, "clash") for a in asked], "doc_id long, text string, quality string"), model).withColumnRenamed("score", "own").collect()]
+    assert [d for d, _ in sorted(got)] == [d for d, _ in sorted(want)] and np.allclose([s for _, s in sorted(got)], [s for _, s in sorted(want)], atol=1e-4)
+    assert max(s for _, s in got) > 0.7 and min(s for _, s in got) < 0.3
