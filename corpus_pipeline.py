@@ -13,8 +13,7 @@ STAGES = [
     ("benchmark decontamination", decontamination.stage),
     ("byte-level BPE encoding and decoding", byte_bpe.stage),
 ]
-#: Learned models and digests have no SQL; tests hold line dedup and the Jaccard join against brute force or cases by
-#: hand, the others as operators only.
+#: Learned models and digests have no SQL; tests hold every stage against brute force, plain loops or the library.
 ORACLE_SQL = None
 
 
