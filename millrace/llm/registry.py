@@ -1,6 +1,6 @@
 """The queries of the text operators, and SQL for those that SQL can express on whole tables."""
 
-from millrace.llm import byte_bpe, decontamination, html_text, jaccard_join, language_id, line_dedup, pii, quality, token_counts, vector_topk
+from millrace.llm import byte_bpe, centroids, decontamination, html_text, jaccard_join, language_id, line_dedup, pii, quality, token_counts, vector_topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_vector_topk": vector_topk.op8_vector_topk,
     "op9_pii": pii.op9_pii,
     "op10_html_text": html_text.op10_html_text,
+    "op11_centroids": centroids.op11_centroids,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op5_decontamination": decontamination.ORACLE_SQL,
     "op7_jaccard_join": jaccard_join.ORACLE_SQL,
     "op8_vector_topk": vector_topk.ORACLE_SQL,
+    "op11_centroids": centroids.ORACLE_SQL,
 }
