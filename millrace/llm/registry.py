@@ -1,6 +1,6 @@
 """The queries of the text operators, and SQL for those that SQL can express on whole tables."""
 
-from millrace.llm import byte_bpe, centroids, decontamination, html_text, jaccard_join, language_id, line_dedup, pii, quality, spelling, token_counts, vector_topk
+from millrace.llm import byte_bpe, centroids, decontamination, html_text, jaccard_join, language_id, licenses, line_dedup, pii, quality, spelling, token_counts, vector_topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_html_text": html_text.op10_html_text,
     "op11_centroids": centroids.op11_centroids,
+    "op12_licenses": licenses.op12_licenses,
     "op13_spelling": spelling.op13_spelling,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -22,5 +23,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_jaccard_join": jaccard_join.ORACLE_SQL,
     "op8_vector_topk": vector_topk.ORACLE_SQL,
     "op11_centroids": centroids.ORACLE_SQL,
+    "op12_licenses": licenses.ORACLE_SQL,
     "op13_spelling": spelling.ORACLE_SQL,
 }
