@@ -3,7 +3,8 @@
 The bound on edits grows with a line's length: 0 from `exact` characters on, `edits` (0 or 1; insertions, deletions
 and substitutions of code points) from `least` on, for one edit may be all that a short line says ('Page 1', 'Page 2').
 A line is dropped if any line before it, in any document, is within both lines' bounds. The query and the stage take 1
-for `exact`: copies of all lines but empty ones go. Before means: by document id, null last, then by line number. The
+for `exact`: copies of all lines but empty ones go. Before means: by document id, null last, then by the hash of the
+text, for different texts with one id or with none, then by line number. The
 rule looks at all earlier lines, kept or not, so the result doesn't depend on any order of work; of equal lines the
 first stays.
 
@@ -230,7 +231,7 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, edits: int = 1, exact: in
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
     found = common.staged(occurrences(docs, least, edits, least if exact is None else exact))
-    at = F.struct(F.col("id").isNull().alias("last"), "id", "number")
+    at = F.struct(F.col("id").isNull().alias("last"), "id", "row", "number")
     first = common.staged(found.groupBy("line").agg(F.min(at).alias("at"), F.first("keys").alias("keys"), F.count("*").alias("n")))
     if edits:
         near = common.staged(near_lines(docs, first, least)).withColumn("near", F.lit(True))
@@ -291,8 +292,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without repeated lines; those of which nothing is left go."""
-    found = line_dedup(docs, exact=EXACT).where("n_dropped = 0 or trim(text) <> ''")
+    """The documents without repeated lines; those of which nothing but white space is left go."""
+    found = line_dedup(docs, exact=EXACT).where((F.col("n_dropped") == 0) | F.col("text").rlike("(?U)\\S"))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("_doc.n_chars"))}
     return found.select(*(new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns))
 

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from compare import database, same
 from millrace.llm import jaccard_join, line_dedup, registry, vector_topk
@@ -131,13 +132,19 @@ def within_one(a, b):
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
+def at(d, t):
+    """Where a document stands: by id, null last, then by the hash of its text."""
+    h = xxhash.xxh64(t.encode(), seed=42).intdigest() if t is not None else 42
+    return d is None, d or 0, h - (h >> 63 << 64)
+
+
 def dedup(docs, least):
-    every = [((d is None, d or 0), i, line) for d, t in docs if t is not None for i, line in enumerate(t.split("\n")) if len(line) >= least]
+    every = [(at(d, t), i, line) for d, t in docs if t is not None for i, line in enumerate(t.split("\n")) if len(line) >= least]
     for d, t in docs:
         if t is None:
             yield d, 0, 0, None
             continue
-        own, lines = (d is None, d or 0), t.split("\n")
+        own, lines = at(d, t), t.split("\n")
         left = [x for i, x in enumerate(lines) if len(x) < least or not any((k, j) < (own, i) and within_one(x, y) for k, j, y in every)]
         yield d, len(lines), len(lines) - len(left), "\n".join(left)
 
@@ -170,9 +177,9 @@ def test_line_dedup_of_nothing_and_stage(spark):
 
 def dedup_of_all_lengths(docs, least):
     """Copies of lines of every length but 0 go; one edit counts from `least` characters on."""
-    every = [((d is None, d or 0), i, x) for d, t in docs if t is not None for i, x in enumerate(t.split("\n")) if x]
+    every = [(at(d, t), i, x) for d, t in docs if t is not None for i, x in enumerate(t.split("\n")) if x]
     for d, t in docs:
-        own, lines = (d is None, d or 0), [] if t is None else t.split("\n")
+        own, lines = at(d, t), [] if t is None else t.split("\n")
         near = lambda x, y: x == y or (min(len(x), len(y)) >= least and within_one(x, y))
         left = [x for i, x in enumerate(lines) if not x or not any((k, j) < (own, i) and near(x, y) for k, j, y in every)]
         yield d, len(lines), len(lines) - len(left), None if t is None else "\n".join(left)
@@ -191,7 +198,23 @@ def test_line_dedup_drops_short_copies_in_query_and_stage(spark, tmp_path):
     kept = {r["doc_id"]: r["text"] for r in line_dedup.stage(spark, rows, SF).collect()}
     left = {d: t for d, _, n, t in want}
     assert all(t == left[d] for d, t in kept.items()) and kept[502] == "Menu"
-    assert {d for d, _, n, t in want if not n or t.strip(" ")} == kept.keys()
+    assert {d for d, _, n, t in want if not n or t.strip()} == kept.keys()
+
+
+@pytest.mark.parametrize("part", [1 << 18, 30])
+def test_line_dedup_of_equal_and_null_ids(spark, monkeypatch, part):
+    """Different texts under one id or none: the first by hash keeps a shared line; true copies of a row are alike."""
+    monkeypatch.setattr(line_dedup, "PART", part)
+    one = "a line that all of these begin with"
+    docs = [(d, f"{one}\nrest {d} {k}\n\n\ta") for d in (None, 5, 5) for k in range(3)] + [(None, one), (None, one), (5, one + "\n \t"), (9, f"{one}x\n\t\n"), (8, None)]
+    frame = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, n_chars long")
+    got = [tuple(r) for r in line_dedup.line_dedup(frame, exact=1).select("_doc.doc_id", "n_lines", "n_dropped", "text").collect()]
+    want = list(dedup_of_all_lengths(docs, 20))
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(one in (t or "") for *_, t in got) < 4
+    kept = line_dedup.stage(spark, frame, SF).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == sorted((str(d), str(t)) for d, _, n, t in want if not n or t.strip())
+    assert len(kept) < len(docs)
+    assert line_dedup.stage(spark, frame.limit(0), SF).count() == 0
 
 
 def brute_topk(rows, k):
