@@ -1,4 +1,4 @@
-"""Grouped operators: top k, sessions, frames by groups, salted aggregates, gap filling."""
+"""Grouped operators: top k, sessions, frames by groups, distinct counts of hot groups."""
 
 from __future__ import annotations
 
@@ -27,10 +27,6 @@ def groups_frame(df: DataFrame, by: list[str], order: str, before: int, after: i
     return ranked.withColumn(name, value.over(W.partitionBy(*by).orderBy("_peers").rangeBetween(-before, after))).drop("_peers")
 
 
-def salted_count_distinct(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+def spread_count_distinct(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """Exact distinct counts where one group may hold most rows: values are made distinct by (group, value) first."""
     return df.select(*by, value).where(F.col(value).isNotNull()).distinct().groupBy(*by).agg(F.count("*").alias(name))
-
-
-def unpivoted(df: DataFrame, ids: list[str], values: list[str], name: str, value: str) -> DataFrame:
-    return df.unpivot(ids, values, name, value)

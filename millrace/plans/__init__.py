@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import aggregates, extensions, extras, formats, joins, reports, scalars, selections, streams, windows
-from millrace.plans.registry import Query
+from millrace.plans import aggregates, extensions, extras, formats, joins, ordered, reports, scalars, selections, streams, windows
+from millrace.plans.registry import joined
 
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-for _module in (reports, selections, joins, aggregates, windows, scalars, formats, extensions, extras, streams):
-    QUERIES |= _module.R.queries
-    ORACLE_SQL |= _module.R.oracle
+QUERIES, ORACLE_SQL = joined([m.R for m in (reports, selections, joins, aggregates, windows, ordered, scalars, formats, extensions, extras, streams)])

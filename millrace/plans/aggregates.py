@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators.grouping import salted_count_distinct
+from millrace.operators.grouping import spread_count_distinct
+from millrace.operators.sketches import count_min
 from millrace.plans.registry import Registry
 from millrace.plans.selections import views
 from millrace.session import table
@@ -35,7 +36,7 @@ def distinct_and_filtered(spark, sf_dir):
 
 @R.query("SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY l_returnflag")
 def distinct_of_hot_groups(spark, sf_dir):
-    return salted_count_distinct(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_orderkey", "orders")
+    return spread_count_distinct(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_orderkey", "orders")
 
 
 @R.query("""SELECT event_type, round(stddev_samp(value), 6) AS sd, round(var_pop(value), 4) AS var, round(corr(value, event_id), 6) AS r, round(regr_slope(value, event_id), 9) AS slope FROM events GROUP BY event_type""")
@@ -87,3 +88,35 @@ def unpivot(spark, sf_dir):
 def pivot(spark, sf_dir):
     wide = table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
     return wide.select("o_orderpriority", *(F.coalesce(c, F.lit(0)).alias(c.lower()) for c in "FOP"))
+
+
+@R.query()
+def theta_sets(spark, sf_dir):
+    """How many users clicked, bought, did both, either, or clicked only: set algebra over Theta sketches of 2**12 entries, exact up to so many users."""
+    views(spark, sf_dir, "events")
+    return spark.sql("""WITH s AS (SELECT theta_sketch_agg(user_id, 12) FILTER (WHERE event_type = 'click') AS c, theta_sketch_agg(user_id, 12) FILTER (WHERE event_type = 'purchase') AS p FROM events)
+        SELECT theta_sketch_estimate(c) AS clicked, theta_sketch_estimate(p) AS bought, theta_sketch_estimate(theta_intersection(c, p)) AS both, theta_sketch_estimate(theta_union(c, p, 12)) AS either, theta_sketch_estimate(theta_difference(c, p)) AS clicked_only FROM s""")
+
+
+@R.query()
+def frequencies_by_sketch(spark, sf_dir):
+    """How often each user's events occur by a count-min sketch: never too few, and with 99 % confidence at most 0.1 % of all too many."""
+    events = table(spark, sf_dir, "events").select("user_id")
+    counts = count_min(events, "user_id", 0.001, 0.99)
+    return counts(events.distinct(), "user_id", "estimate")
+
+
+@R.query("SELECT lower(c_mktsegment) AS segment, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE lower(c_mktsegment) END AS c_mktsegment FROM customer) GROUP BY 1")
+def group_by_collation(spark, sf_dir):
+    """Groups under a collation in which keys of different bytes are equal."""
+    name = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
+    grouped = table(spark, sf_dir, "customer").select(F.collate(name, "UTF8_LCASE").alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
+    return grouped.select(F.lower(F.collate("segment", "UTF8_BINARY")).alias("segment"), "n")
+
+
+@R.query("SELECT c_custkey, n FROM customer JOIN (SELECT lower(o_orderstatus) AS k, count(*) AS n FROM orders GROUP BY 1) ON lower(substr(c_mktsegment, 3, 1)) = k")
+def join_by_collation(spark, sf_dir):
+    """A join of upper with lower case under a Unicode collation that doesn't tell them apart."""
+    counts = table(spark, sf_dir, "orders").groupBy(F.lower("o_orderstatus").alias("k")).agg(F.count("*").alias("n"))
+    letter = F.collate(F.substring("c_mktsegment", 3, 1), "UNICODE_CI")
+    return table(spark, sf_dir, "customer").join(counts, letter == F.collate("k", "UNICODE_CI")).select("c_custkey", "n")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from millrace.functions.tables import register
 from millrace.plans.registry import Registry
+from millrace.plans.selections import views
 from millrace.session import table
 
 R = Registry()
@@ -61,16 +63,32 @@ def arrow_map(spark, sf_dir):
 
 
 @R.query("SELECT n_nationkey, unnest(string_split(n_name, '_')) AS part FROM nation")
-def table_function(spark, sf_dir):
-    @F.udtf(returnType="part: string")
-    class Parts:
-        def eval(self, name: str):
-            for part in name.split("_"):
-                yield (part,)
-
-    spark.udtf.register("name_parts", Parts)
-    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
-    return spark.sql("SELECT n_nationkey, part FROM nation, LATERAL name_parts(n_name)")
+def python_table_function(spark, sf_dir):
+    """A table function in Python, joined laterally."""
+    register(spark)
+    views(spark, sf_dir, "nation")
+    return spark.sql("SELECT n_nationkey, part FROM nation, LATERAL parts_of(n_name, '_')")
+
+
+@R.query("""WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, event_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+    SELECT user_id, min(event_id) AS event_id, min(ts) AS begins, max(ts) AS ends, count(*) AS n FROM s GROUP BY user_id, k""")
+def python_table_sessions(spark, sf_dir):
+    """A table function over a partitioned and ordered table: rows stream through it, and its schema follows its arguments."""
+    register(spark)
+    views(spark, sf_dir, "events")
+    return spark.sql("SELECT * FROM sessions_of(TABLE(SELECT user_id, event_id, ts FROM events) PARTITION BY (user_id) ORDER BY (ts), 'ts', 21600, 'user_id, event_id')")
+
+
+@R.query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: left(w, 1)), '') AS letters FROM part")
+def python_scalar(spark, sf_dir):
+    """A plain Python function, for logic that has no vectorised form; its rows go to Python in Arrow batches."""
+
+    @F.udf("string", useArrow=True)
+    def letters(name: str) -> str | None:
+        return None if name is None else "".join(w[:1] for w in name.split(" "))
+
+    return table(spark, sf_dir, "part").select("p_partkey", letters("p_name").alias("letters"))
 
 
 @R.query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem WHERE l_quantity > 45")

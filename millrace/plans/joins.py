@@ -99,3 +99,19 @@ def join_lateral_top(spark, sf_dir):
 def join_lateral_aggregate(spark, sf_dir):
     views(spark, sf_dir, "customer", "orders")
     return spark.sql("SELECT c_custkey, n, coalesce(most, 0) AS most FROM customer, LATERAL (SELECT count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_custkey = c_custkey)")
+
+
+@R.query("SELECT n_name, c_custkey, c_acctbal FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9500")
+def join_lateral_frame(spark, sf_dir):
+    """A lateral join of frames: the inner one refers to the outer row; nations without such a customer stay."""
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    rich = customer.where((F.col("c_nationkey") == F.col("n_nationkey").outer()) & (F.col("c_acctbal") > 9500)).select("c_custkey", "c_acctbal")
+    return nation.lateralJoin(rich, how="left").select("n_name", "c_custkey", "c_acctbal")
+
+
+@R.query("SELECT doc_id, i, word FROM (SELECT doc_id, unnest(string_split(text, ' ')[:8]) AS word, unnest(range(len(string_split(text, ' ')[:8]))) AS i FROM documents) WHERE length(word) > 6")
+def join_lateral_generator(spark, sf_dir):
+    """A lateral join with a generator: each text's first words, with their places, filtered within the join."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 8).alias("words"))
+    each = spark.tvf.posexplode(F.col("words").outer()).toDF("i", "word").where(F.length("word") > 6)
+    return docs.lateralJoin(each).select("doc_id", F.col("i").cast("long").alias("i"), "word")

@@ -95,3 +95,8 @@ def variant_fields(spark, sf_dir):
 @R.query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^([a-z]+)://', 1) AS scheme FROM pages")
 def url_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PROTOCOL")).alias("scheme"))
+
+
+@R.query("SELECT doc_id, length(text) AS n, lang AS lang FROM (SELECT doc_id, text, CASE lang WHEN 'en' THEN 'E500' WHEN 'fr' THEN 'F600' WHEN 'de' THEN 'D000' ELSE 'E200' END AS lang FROM documents)")
+def soundex(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"), F.soundex("lang").alias("lang"))

@@ -61,11 +61,13 @@ def common_table_expression(spark, sf_dir):
         SELECT n, count(*) AS customers FROM named GROUP BY n""")
 
 
-@R.query("""WITH RECURSIVE m(m) AS (SELECT min(date_trunc('month', ts)) FROM events UNION ALL SELECT m + INTERVAL 1 DAY FROM m WHERE m < TIMESTAMP '2024-01-30')
+@R.query("""WITH RECURSIVE m(m) AS (SELECT min(date_trunc('month', ts)) FROM events UNION ALL SELECT m + INTERVAL 1 DAY FROM m WHERE m < (SELECT date_trunc('day', max(ts)) FROM events))
     SELECT CAST(m AS TIMESTAMP) AS day, count(event_id) AS n FROM m LEFT JOIN events ON date_trunc('day', ts) = m GROUP BY m""")
 def recursive_calendar(spark, sf_dir):
+    """Events by day, from the first month's first day to the last event's; days without events count 0."""
     views(spark, sf_dir, "events")
-    return spark.sql("""WITH RECURSIVE m(day) AS (SELECT CAST(min(date_trunc('month', ts)) AS TIMESTAMP_NTZ) FROM events UNION ALL SELECT CAST(day + INTERVAL 1 DAY AS TIMESTAMP_NTZ) FROM m WHERE day < TIMESTAMP_NTZ '2024-01-30')
+    return spark.sql("""WITH RECURSIVE m(day, stop) MAX RECURSION LEVEL 100000 AS (SELECT CAST(min(date_trunc('month', ts)) AS TIMESTAMP_NTZ), CAST(date_trunc('day', max(ts)) AS TIMESTAMP_NTZ) FROM events
+        UNION ALL SELECT CAST(day + INTERVAL 1 DAY AS TIMESTAMP_NTZ), stop FROM m WHERE day < stop)
         SELECT day, count(event_id) AS n FROM m LEFT JOIN events ON CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ) = day GROUP BY day""")
 
 

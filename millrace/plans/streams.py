@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.plans.registry import Registry
 from millrace.sources import scratch
 from millrace.streaming import events, finished
+from millrace.streaming.stateful import first_seen, rocksdb, visits
 
 R = Registry()
 
@@ -100,3 +101,22 @@ def stream_restarted_with_late_rows(spark, sf_dir):
         counts = events(spark, sf_dir, "1 hour", source).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
         found = finished(counts, path=out, checkpoint=checkpoint)
     return found.select(plain("window.start").alias("day"), "n")
+
+
+@R.query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+    SELECT user_id, CAST(k AS BIGINT) AS number, min(ts) AS begins, max(ts) AS ends, count(*) AS n, coalesce(string_agg(event_id, ',' ORDER BY ts) FILTER (WHERE event_type = 'purchase'), '') AS purchases
+    FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""")
+def stream_visits(spark, sf_dir):
+    """Visits that an event-time timer closes after six idle hours: state in a map, a list and a value, in RocksDB."""
+    rows = events(spark, sf_dir, "1 hour").withColumn("purchase", F.when(F.col("event_type") == "purchase", F.col("event_id")))
+    with rocksdb(spark):
+        found = finished(visits(rows, "user_id", "ts", "purchase", 6 * 3600))
+    return found.select("user_id", "number", plain("begins").alias("begins"), plain("ends").alias("ends"), "n", F.col("marked").alias("purchases"))
+
+
+@R.query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, sf_dir):
+    """The first row of each user and type, by state that expires a day after it was last written."""
+    with rocksdb(spark, clock=True):
+        return finished(first_seen(events(spark, sf_dir), ["user_id", "event_type"], 86400))
