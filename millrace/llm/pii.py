@@ -13,6 +13,7 @@ repeated ids stay; other columns are not read. An empty table gives an empty res
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 
@@ -58,17 +59,26 @@ TOP = "com org net edu gov mil info biz int io ai app dev me tv us uk de fr es i
 NO_DOMAIN = "the a an this that these those each every any some my your his her its our their it him us me you them which what der die das dem den le la les el los las".split()
 #: Spelled digits that extend a base span in any case.
 LEAST = 4
+#: Digits of a phone number that no fewer words extend.
+WHOLE = 11
 
 _ODD = re.compile("[" + "".join(map(re.escape, [*LOOKALIKES, *INVISIBLE])) + "]")
-_OPEN, _CLOSE = r"[\x20\t]*[\[({<][\x20\t]*", r"[\x20\t]*[\])}>][\x20\t]*"
-_SIGN = re.compile(rf"(?P<at>{_OPEN}(?:at|@|arroba){_CLOSE})|(?P<dot>{_OPEN}(?:dot|punkt|punto|point|\.){_CLOSE})", re.I)
-_DOT = r"\x20+(?:dot|punkt|punto)\x20+"
+_SIGN = re.compile(r"[\[({<][\x20\t]*(?:(?P<at>at|@|arroba)|(?P<dot>dot|punkt|punto|point|\.))[\x20\t]*[\])}>][\x20\t]*", re.I)
+#: Signs of one letter count only together: "alice (a) example (d) com".
+_SHORT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\x20?[\[({]a[\])}]\x20?)[A-Za-z0-9-]+(?:\x20?[\[({]d[\])}]\x20?[A-Za-z0-9-]+)+", re.I)
+_SHORT_DOT = re.compile(r"\x20?[\[({]d[\])}]\x20?", re.I)
+_DOT = r"(?<!\x20)\x20+(?:dot|punkt|punto)\x20+"
 _TOP = rf"(?:{'|'.join(TOP)})(?![A-Za-z0-9-])"
-#: Any last label may follow a domain that is no plain prose, and an @ if all dots are words; those of TOP end any domain.
+#: Words of times of day, which are no labels of a domain unless one of TOP ends it.
+TIMES = "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty noon midnight am pm".split()
+_CLOCK = rf"(?:{'|'.join([*TIMES, *SPELLED])})(?![A-Za-z0-9-])"
+_LABEL = rf"(?!{_CLOCK})[A-Za-z0-9-]+"
+#: Any last label may follow a domain that is no plain prose, and an @ if all dots are words; those of TOP end any domain
+#: but an article alone that goes on in plain words: "at the dot com boom".
 _WORDY = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:"
-    rf"(?P<at>\x20+(?:at|ät|arroba)\x20+)(?:(?!(?:{'|'.join(NO_DOMAIN)})\x20)[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9-])"
-    rf"|[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*{_DOT}{_TOP})"
+    rf"(?P<at>\x20+(?:at|ät|arroba)\x20+)(?:(?!(?:{'|'.join(NO_DOMAIN)})\x20){_LABEL}(?:(?:{_DOT}|\.){_LABEL})*{_DOT}(?!{_CLOCK})[A-Za-z]{{2,}}(?![A-Za-z0-9-])"
+    rf"|(?!(?:{'|'.join(NO_DOMAIN)}){_DOT}[A-Za-z0-9-]+\x20+[A-Za-z])[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*{_DOT}{_TOP})"
     rf"|(?P<sign>\x20*@\x20*)(?:[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9-])"
     rf"|[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*{_DOT}{_TOP}))",
     re.I,
@@ -76,14 +86,18 @@ _WORDY = re.compile(
 _WORDY_DOT = re.compile(_DOT, re.I)
 #: An address with spaces around its signs, under a listed top-level domain.
 _SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\x20+@\x20*|@\x20+)[A-Za-z0-9-]+(?:(?:\x20+\.\x20+|\.)[A-Za-z0-9-]+)*(?:\x20+\.\x20+|\.){_TOP}", re.I)
-_SPACED_DOT = re.compile(r"\x20+\.\x20+")
+_SPACED_DOT = re.compile(r"(?<!\x20)\x20+\.\x20+")
+#: Four numbers with spaces around the dots, and an address with a space after each of its characters.
+_SPACED_IP = re.compile(r"(?<![0-9.])(?<![0-9.]\x20)[0-9]{1,3}(?:\x20{1,2}\.\x20{1,2}[0-9]{1,3}){3}(?![0-9])(?!\x20{1,2}\.\x20{1,2}[0-9])")
+_LETTERED = re.compile(r"(?<!\S)(?<!(?<!\S)[A-Za-z0-9._%+-]\x20)(?:[A-Za-z0-9._%+-]\x20){2,}@\x20(?:[A-Za-z0-9-]\x20)+(?:\.\x20(?:[A-Za-z0-9-]\x20)+)*\.\x20(?:[A-Za-z0-9-]\x20)+?[A-Za-z0-9](?!\S|\x20[A-Za-z0-9](?!\S))")
 #: Digits with letters among them that look like digits.
 _MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[OoIl]*[0-9])[0-9OoIl]*[OoIl][0-9OoIl]*(?![A-Za-z0-9])")
 _DIGIT_LIKE = str.maketrans("OoIl", "0011")
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
-_NUMBER = re.compile(rf"(?:\b(?:plus|oh)[\x20-]+)?(?<!\w)(?:{_WORD}|[0-9]+)(?:(?:[\x20,-]+|[\x20]*\.[\x20]*|[\x20]+(?:dot|punkt|punto|point)[\x20]+)(?:oh|{_WORD}|[0-9]+))+(?!\w)", re.I)
+_ONE = rf"(?:(?:double|triple)[\x20]+)?(?:{_WORD}|[0-9]+)"
+_NUMBER = re.compile(rf"(?:\b(?:plus|oh)[\x20-]+)?(?<!\w){_ONE}(?:(?:[\x20,-]+|[\x20]*\.[\x20]*|[\x20]+(?:dot|punkt|punto|point)[\x20]+)(?:oh|{_ONE}))+(?!\w)", re.I)
 _SPELLED, _NEXT = re.compile(rf"\b(?:oh|{_WORD})\b", re.I), re.compile(r"[.,]\x20")
-_NUMBER_PART = re.compile(rf"(?P<plus>\bplus\b)|(?P<word>\b(?:oh|{_WORD})\b)|(?P<dot>\.|\b(?:dot|punkt|punto|point)\b)|(?P<digit>[0-9])|(?P<gap>[\x20,-]+)", re.I)
+_NUMBER_PART = re.compile(rf"(?P<times>\b(?:double|triple)[\x20]+)|(?P<plus>\bplus\b)|(?P<word>\b(?:oh|{_WORD})\b)|(?P<dot>\.|\b(?:dot|punkt|punto|point)\b)|(?P<digit>[0-9])|(?P<gap>[\x20,-]+)", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -145,7 +159,21 @@ def _looks(text: str) -> list[tuple[int, int, str]]:
 
 
 def _signs(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "@" if m["at"] else ".") for m in _SIGN.finditer(text)]
+    out, end = [], 0
+    for m in _SIGN.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1] in " \t":
+            start -= 1
+        end = m.end()
+        out.append((start, end, "@" if m["at"] else "."))
+    return out
+
+
+def _short(text: str) -> list[tuple[int, int, str]]:
+    out = []
+    for m in _SHORT.finditer(text):
+        out += [(*m.span("at"), "@"), *((*d.span(), ".") for d in _SHORT_DOT.finditer(text, m.end("at"), m.end()))]
+    return out
 
 
 def _wordy(text: str) -> list[tuple[int, int, str]]:
@@ -160,13 +188,18 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _NUMBER.finditer(text):
         parts = list(_NUMBER_PART.finditer(text, *m.span()))
-        if any(p.lastgroup == "word" or (p.lastgroup == "dot" and p[0] != ".") for p in parts):
+        if any(p.lastgroup in ("word", "times") or (p.lastgroup == "dot" and p[0] != ".") for p in parts):
+            times = 1
             for i, p in enumerate(parts):
-                if p.lastgroup == "word":
-                    out.append((*p.span(), SPELLED.get(p[0].lower(), "0")))
+                if p.lastgroup == "times":
+                    times = 2 if p[0][0] in "dD" else 3
+                    out.append((*p.span(), ""))
+                elif p.lastgroup == "word" or (p.lastgroup == "digit" and times > 1):
+                    out.append((*p.span(), times * SPELLED.get(p[0].lower(), p[0] if p.lastgroup == "digit" else "0")))
+                    times = 1
                 elif p.lastgroup in ("plus", "dot"):
                     out.append((*p.span(), "+" if p.lastgroup == "plus" else "."))
-                elif p.lastgroup == "gap" and {q.lastgroup for q in (parts[i - 1 : i] + parts[i + 1 : i + 2])} & {"word", "plus", "dot"}:
+                elif p.lastgroup == "gap" and {q.lastgroup for q in (parts[i - 1 : i] + parts[i + 1 : i + 2])} & {"word", "plus", "dot", "times"}:
                     out.append((*p.span(), ""))
     return out
 
@@ -175,7 +208,10 @@ def _spaced(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _SPACED.finditer(text):
         out += [(*m.span("at"), "@"), *((*d.span(), ".") for d in _SPACED_DOT.finditer(text, m.end("at"), m.end()))]
-    return out
+    out += [(*d.span(), ".") for m in _SPACED_IP.finditer(text) for d in _SPACED_DOT.finditer(text, *m.span())]
+    out += [(i, i + 1, "") for m in _LETTERED.finditer(text) for i in range(*m.span()) if text[i] == " "]
+    out.sort()
+    return [x for x, before in zip(out, [(0, 0, ""), *out]) if x[0] >= before[1]]
 
 
 def _mixed(text: str) -> list[tuple[int, int, str]]:
@@ -187,18 +223,19 @@ def signs_of_disguise(text: str, odd: bool) -> list:
     low = text.lower()
     bracket = any(c in text for c in "[({<") or odd
     dots = any(f" {w} " in low for w in ("dot", "punkt", "punto"))
-    number = dots or " point " in low or any(w in low for w in SPELLED)
-    spaced = odd or " @" in text or "@ " in text
+    number = dots or " point " in low or "double " in low or "triple " in low or any(w in low for w in SPELLED)
+    spaced = odd or " @" in text or "@ " in text or " . " in text
     mixed = odd or _MIXED.search(text) is not None
-    return [f for f, use in ((_looks, odd), (_signs, bracket), (_spaced, spaced), (_wordy, dots), (_mixed, mixed), (_numbers, number)) if use]
+    return [f for f, use in ((_looks, odd), (_signs, bracket), (_short, bracket), (_spaced, spaced), (_wordy, dots), (_mixed, mixed), (_numbers, number)) if use]
 
 
 def _adds_little(text: str, base: tuple[int, int, int], own: tuple[int, int, int]) -> bool:
-    """Whether own is the number base and a number word of the text around it: "10.0.0.1 one", "3138. One"."""
-    if base[1] != own[1] or own[1] == 0 or not own[0] <= base[0] <= base[2] <= own[2]:
-        return False
+    """Whether own is the number base, which is whole already, and a few number words of the text around it: an address,
+    a card, a phone number of WHOLE digits, or any before a full stop or comma ("3138. One")."""
     beside = (text[own[0] : base[0]], text[base[2] : own[2]])
-    return sum(len(_SPELLED.findall(x)) for x in beside) < LEAST and (KINDS[own[1]] == "ip" or any(_NEXT.search(x) for x in beside))
+    if own[1] == 0 or sum(len(_SPELLED.findall(x)) for x in beside) >= LEAST:
+        return False
+    return KINDS[base[1]] != "phone" or len(_NO_DIGIT.sub("", text[base[0] : base[2]])) >= WHOLE or any(_NEXT.search(x) for x in beside)
 
 
 def find(text: str, odd: bool = True) -> list[tuple[int, int, int, bool]]:
@@ -211,9 +248,15 @@ def find(text: str, odd: bool = True) -> list[tuple[int, int, int, bool]]:
         for f in todo:
             r.replace(f(r.text))
         if r.text is not before:
+            starts, ends = ([[x[i] for x in base if x[1] == k] for k in range(len(KINDS))] for i in (0, 2))
             for s, k, e in plain(r.text):
                 own = (int(r.start[s]), k, int(r.end[e - 1]))
-                if not any(k == b[1] and b[0] <= own[0] and own[2] <= b[2] or _adds_little(text, b, own) for b in base):
+                # those of a kind don't overlap: only the last that begins before own can cover it
+                before = bisect.bisect_right(starts[k], own[0])
+                if before and ends[k][before - 1] >= own[2]:
+                    continue
+                inside = range(bisect.bisect_left(starts[k], own[0]), bisect.bisect_right(starts[k], own[2]))
+                if not any(ends[k][i] <= own[2] and _adds_little(text, (starts[k][i], k, ends[k][i]), own) for i in inside):
                     spans.append((*own, True))
     return sorted(set(spans))
 
