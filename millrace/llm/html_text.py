@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 A page becomes a tree: block elements, and below them one leaf for each block of inline text. Every node holds a
-hidden label, content or not, with a potential from the node's own features (tag, words of class and id, length,
-links, punctuation), and every edge a potential for the labels of parent and child. Messages pass upward from the
+hidden label, content or not, with a potential from the node's own features (tag, words of class and id, length, links,
+punctuation; what it holds of the page's text, links and paragraphs; the nearest frame's name), and every edge a potential for the labels of parent and child. Messages pass upward from the
 leaves and downward from the root (sum-product), which gives each node's exact marginal on a tree. Weights are
 learned by gradient steps on the exact likelihood of labelled pages; those pages come from `labelled_pages`, with
 many kinds of frames around an article. Leaves whose marginal is a half or more make the text.
@@ -11,11 +11,13 @@ Scripts, styles, comments and what a browser doesn't show never become nodes. Ch
 white space inside a block becomes one space, and blocks are joined in page order by a line break. Null or empty
 html gives an empty text. Elements that are hidden by an attribute or by their style are left out with all they hold, if
 something closes them. Rows are treated one by one, so repeated ids stay; other columns are not read, whatever their
-names. Very long and deeply nested pages are read in one pass. An empty table gives an empty result.
+names. A very long or deeply nested page takes time in proportion to its length: one pass over its tags, one more if
+anything in it is hidden. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import random
 import re
@@ -53,6 +55,7 @@ _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _UNSEEN = re.compile(r"(?<![\w-])hidden(?![\w-])(?!\s*=\s*false)", re.I)
 _STYLE = re.compile(r"(?<![\w-])style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _SPLIT = re.compile(r"[a-z]+|[0-9]+")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -62,14 +65,21 @@ def unseen(attributes: str) -> bool:
     return ("hidden" in low and bool(_UNSEEN.search(_QUOTED.sub("", attributes)))) or ("style" in low and bool(_STYLE.search(attributes)))
 
 
-def after(source: str, at: int, name: str) -> int | None:
-    """Where an element that was opened before `at` ends; None if nothing closes it."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(name)}(?![^\s/>])[^>]*+>", re.I).finditer(source, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return None
+def closings(source: str) -> dict[int, int]:
+    """Where each element that something closes ends, by where its tag begins: one pass, with a stack for each name."""
+    ends = [m.start() for m in re.finditer(">", source)]
+    opened: dict[str, list[int]] = {}
+    out: dict[int, int] = {}
+    for m in _TAG.finditer(source):
+        i = bisect.bisect_left(ends, m.end())
+        if i == len(ends):
+            break
+        name = m[2].lower()
+        if not m[1]:
+            opened.setdefault(name, []).append(m.start())
+        elif own := opened.get(name):
+            out[own.pop()] = ends[i] + 1
+    return out
 
 
 class Page:
@@ -81,6 +91,7 @@ class Page:
         self.leaves: list[int] = []
         self.texts: list[str] = []
         self.label: list[int] = []
+        self.linked: dict[int, int] = {}  # characters in links, by leaf
         self.marked = marked
         self._read(source)
 
@@ -108,6 +119,7 @@ class Page:
             linked = 0
 
         opened: dict[str, int] = {}
+        closed: dict[int, int] | None = None
 
         def close(names: frozenset[str], scope: frozenset[str]) -> None:
             if not any(map(opened.get, names)):
@@ -150,10 +162,12 @@ class Page:
                     at = end if not stop else stop.start() if stop[0][1] != "/" else stop.end()
                 text.append(" ")
                 continue
-            if name not in VOID and unseen(m[3]) and (to := after(source, at, name)) is not None:
-                text.append(" ")
-                at = to
-                continue
+            if name not in VOID and unseen(m[3]):
+                closed = closings(source) if closed is None else closed
+                if (to := closed.get(m.start())) is not None:
+                    text.append(" ")
+                    at = max(at, to)
+                    continue
             if name == "a":
                 anchors = 1
             elif name in ("br", "hr", "img", "input", "wbr"):
@@ -175,15 +189,47 @@ class Page:
             stack.append((name, self._node(up, traits, label)))
             opened[name] = opened.get(name, 0) + 1
         flush()
+        self._measure()
+
+    def _measure(self) -> None:
+        """Adds what a node holds to its traits: its share of the page's text and of links, paragraphs, and its place."""
+        n = len(self.parent)
+        chars, linked, prose, first = [0] * n, [0] * n, [0] * n, [0] * n
+        total = 0
+        for i, text in zip(self.leaves, self.texts):
+            chars[i], linked[i], first[i] = len(text), min(len(text), self.linked[i]), total
+            prose[i] = len(text) >= 60 and text[-1] in STOPS and 3 * linked[i] < len(text)
+            total += len(text)
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            if chars[i] and (not chars[up] or first[i] < first[up]):
+                first[up] = first[i]
+            for x in (chars, linked, prose):
+                x[up] += x[i]
+        under = [""] * n  # the nearest name of a frame, its own or above
+        for i in range(n):
+            up = self.parent[i]
+            under[i] = next((x for x in self.traits[i] if x in FRAMED), under[up] if up >= 0 else "")
+            part, share, place = (a / max(1, b) for a, b in ((chars[i], total), (linked[i], chars[i]), (first[i], total)))
+            # what an element holds tells the more the less its name does
+            framed = not FRAMED.isdisjoint(self.traits[i])
+            named = ("mixed" if framed else "other") if "w:other" in self.traits[i] else "framed" if framed else "plain"
+            more = (named, f"part{bisect.bisect(PARTS, part)}-{named}", f"linked{bisect.bisect(SHARES, share)}", f"prose{bisect.bisect(PROSE, prose[i])}-{named}", f"place{bisect.bisect(PLACES, place)}")
+            if under[i]:
+                more += (f"under-{under[i]}", f"under-{under[i]}-{named}")
+            if up >= 0:
+                more += (f"{more[2]}-in-prose{bisect.bisect(PROSE, prose[up] - prose[i])}",)
+            self.traits[i] += more if chars[i] else ("blank",)
 
     def _leaf(self, parent: int, text: str, linked: int) -> None:
         share = min(1.0, linked / max(1, len(text)))
         size = next(i for i, most in enumerate((15, 40, 80, 160, 400, 1 << 60)) if len(text) <= most)
-        traits = ("leaf", f"size{size}", f"link{int(share * 2.99)}", "stop" if text[-1] in ".!?…\"”»" else "nostop")
+        traits = ("leaf", f"size{size}", f"link{int(share * 2.99)}", "stop" if text[-1] in STOPS else "nostop")
         traits += (f"in-{self.traits[parent][0]}", f"size{size}-in-{self.traits[parent][0]}")
-        if "©" in text or "copyright" in text[:200].lower():
+        if len(text) < 160 and ("©" in text or "copyright" in text.lower()):
             traits += ("copyright",)
         self.leaves.append(self._node(parent, traits, self.label[parent]))
+        self.linked[self.leaves[-1]] = linked
         self.texts.append(text)
 
 
@@ -192,12 +238,20 @@ def _traits(name: str, attributes: str) -> tuple[str, ...]:
     out = [name]
     for m in _NAMES.finditer(attributes):
         value = _CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower()
-        out += [f"w:{_stem(w)}" for w in _SPLIT.findall(value) if not w.isdigit()]
+        found = [_stem(w) for w in _SPLIT.findall(value) if not w.isdigit()]
+        out += [f"w:{w}" for w in found]
+        if found and not KNOWN.issuperset(found):
+            out.append("w:other")
     if _HIDE.search(attributes):
         out.append("hidden")
     return tuple(dict.fromkeys(out))
 
 
+STOPS = ".!?…\"”»"
+#: Bounds of the classes of what a node holds.
+PARTS, SHARES, PROSE, PLACES = (0.02, 0.1, 0.3, 0.6), (0.01, 0.2, 0.6), (1, 2, 5), (0.05, 0.5, 0.9)
+
+
 def _stem(word: str) -> str:
     return word[:-1] if len(word) > 3 and word.endswith("s") and not word.endswith("ss") else word
 
@@ -217,11 +271,19 @@ FRAME_WORDS = {
     "share": "share sharing social follow toolbar print",
 }
 BODY_WORDS = "content article post entry story main text body post-content entry-content article-body story-body main-content page wrapper container row col".split()
+#: Words of frames that may also begin the name of a part of an article: "related-history", "share-price".
+SHARED_WORDS = "related share alert warning message notice info legal bottom credits archive categories tags top".split()
+KNOWN = {_stem(w) for words in (*FRAME_WORDS.values(), " ".join(BODY_WORDS)) for x in words.split() for w in x.split("-")}
+FRAMED = {f"w:{_stem(w)}" for words in FRAME_WORDS.values() for x in words.split() for w in x.split("-")} | {"nav", "footer", "aside", "form", "dialog"}
 _SYLLABLES = "ba re li no tu ka mer sol den fir gul hap ion est ure al".split()
 
 
-def labelled_pages(count: int, seed: int = 7) -> list[str]:
-    """Pages whose elements carry data-y="1" where content begins and data-y="0" where it ends."""
+#: The share of frames in training whose names are no words that are known.
+UNNAMED = 0.2
+
+
+def labelled_pages(count: int, seed: int = 7, names: dict[str, str] = FRAME_WORDS) -> list[str]:
+    """Pages whose elements carry data-y="1" where content begins and data-y="0" where it ends; names: the frames' words."""
     rng = random.Random(seed)
 
     def words(lo: int, hi: int, stop: str = ".") -> str:
@@ -229,7 +291,7 @@ def labelled_pages(count: int, seed: int = 7) -> list[str]:
         return " ".join("".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(n)).capitalize() + stop
 
     def cls(kind: str, y: str = "") -> str:
-        picked = rng.choice(FRAME_WORDS[kind].split())
+        picked = rng.choice(names[kind].split()) if rng.random() > UNNAMED else words(1, 1, "").lower()
         return f" {rng.choice(['class', 'class', 'id'])}=\"{picked}\"{y}"
 
     def links(n: int) -> str:
@@ -268,18 +330,23 @@ def labelled_pages(count: int, seed: int = 7) -> list[str]:
         parts = [f"<h1>{words(2, 12, rng.choice(['', '.']))}</h1>"]
         for _ in range(rng.randint(1, 12)):
             roll = rng.random()
-            if roll < 0.68:
+            if roll < 0.65:
                 parts.append(rng.choice([f"<p>{words(1, 120)}</p>", f"<p>{words(1, rng.choice([3, 12, 40]), rng.choice(['.', '']))}</p>", f"<p><b>{words(1, rng.choice([3, 30, 90]), rng.choice(['.', '']))}<br><p>{words(1, rng.choice([4, 90]))}", f"<p>{words(2, 40)} <a href=\"/y\">{words(1, 3, '')}</a> {words(2, 40)}</p>"]))
-            elif roll < 0.78:
+            elif roll < 0.74:
                 parts.append(f"<h{rng.randint(2, 4)}>{words(1, 8, '')}</h2>")
-            elif roll < 0.84:
+            elif roll < 0.80:
                 parts.append(f"<{rng.choice(['ul', 'ol'])}>" + "".join(f"<li>{words(2, 25)}</li>" for _ in range(rng.randint(2, 5))) + "</ul></ol>")
-            elif roll < 0.88:
+            elif roll < 0.84:
                 parts.append(f"<blockquote>{words(4, 50)}</blockquote>")
-            elif roll < 0.91:
+            elif roll < 0.87:
                 parts.append(f"<table><tr><td>{words(1, 5, '')}</td><td>{words(1, 8, '')}</td></tr></table>")
-            elif roll < 0.92:
+            elif roll < 0.88:
                 parts.append(f"<p><a href=\"/y\">{words(2, 14, rng.choice(['', '.']))}</a>{rng.choice(['', '.', ' ' + words(1, 3, '')])}</p>")
+            elif roll < 0.92:
+                parts.append(rng.choice([
+                    f'<{(tag := rng.choice(["div", "section"]))} class="{rng.choice(SHARED_WORDS)}-{words(1, 1, "").lower()}">' + "".join(f"<p>{words(8, 60)}</p>" for _ in range(rng.randint(1, 4))) + f"</{tag}>",
+                    f"<p>{words(2, 30, '')} &copy; {words(1, 20)}</p>", f"<{rng.choice(['ul', 'ol'])}>" + "".join(f'<li><a href="/s">{words(2, 12, "")}</a>{rng.choice(["", " " + words(1, 6)])}</li>' for _ in range(rng.randint(2, 6))) + "</ul></ol>",
+                ]))
             elif roll < 0.93:
                 parts.append(f"<figure><img><figcaption>{words(2, 14)}</figcaption></figure>")
             else:
@@ -294,8 +361,10 @@ def labelled_pages(count: int, seed: int = 7) -> list[str]:
             body = f"<main{y}><article>{inner}</article></main>"
         elif shape < 0.75:
             body = f"<main{y}>{inner}</main>"
-        else:
+        elif shape < 0.86:
             body = f'<div class="{rng.choice(BODY_WORDS)}"{y}>{inner}</div>'
+        else:  # nothing but what it holds tells what it is
+            body = f"<{rng.choice(['div', 'section'])}{rng.choice(['', f' class={words(1, 1, str()).lower()}', f' id={words(1, 1, str()).lower()}{rng.randint(0, 9)}'])}{y}>{inner}</div></section>"
         if rng.random() < 0.3:
             body = f'<div class="{rng.choice(BODY_WORDS)}">{body}</div>'
         head = rng.random()

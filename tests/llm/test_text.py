@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -156,6 +157,11 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     ("alice ät example punkt de", "email", "alice ät example punkt de"),
     ("alice at example dot solutions", "email", "alice at example dot solutions"),
     ("ann at firm dot us dot museum", "email", "ann at firm dot us dot museum"),
+    ("192 . 168 . 0 . 1 up", "ip", "192 . 168 . 0 . 1"),
+    ("write alice (a) mail (d) example (d) com", "email", "alice (a) mail (d) example (d) com"),
+    ("mail a l i c e @ e x a m p l e . c o m now", "email", "a l i c e @ e x a m p l e . c o m"),
+    ("call plus one double five five one two three four five six seven now", "phone", "plus one double five five one two three four five six seven"),
+    ("+1 triple 5 one two three 4567", "phone", "+1 triple 5 one two three 4567"),
 ])
 def test_short_disguises(text, kind, found):
     assert [(pii.KINDS[k], text[s:e]) for s, k, e, hidden in pii.find(text) if hidden] == [(kind, found)]
@@ -164,6 +170,7 @@ def test_short_disguises(text, kind, found):
 @pytest.mark.parametrize("text", [
     "300 dot 168 dot 0 dot 1", "4111 1111 1111 111 two", "one two three", "At 10.0.0.1 one can see", "one 10.0.0.1",
     "Call +1 706 555 3138. One of us", "meet @ the cafe. It was 1O o'clock", "ann@firm.com dot the i", "look at a dot there", "1 point 2, or two point three",
+    "+1 (848) 555-1373 Un texte", "meet me at nine dot thirty", "she looked at the dot com boom", "he was at noon dot ten", "option (a) example (b) other (d) more", "1 . 2 . 3 . 4 . 5", "double five, triple six",
 ])
 def test_texts_without_further_spans(text):
     assert [x for x in pii.find(text) if x[3]] == []
@@ -174,6 +181,13 @@ def test_clean_texts_have_no_spans(text):
     assert pii.find(text) == []
 
 
+@pytest.mark.parametrize("text", [" " * 10**6 + "(at) x", "( " * 10**5 + "at", "a@b.co " * 10**5 + "x (at) y (dot) com", "a at b" + " " * 10**5 + "dot com", "a " * 10**5 + "@ b", "a dot " * 10**5, "1 . " * 10**5, "1" + " " * 10**5 + "one"])
+def test_one_long_text_takes_seconds(text):
+    began = time.time()
+    pii.find(text)
+    assert time.time() - began < 20
+
+
 def test_pii_table(spark, odd):
     rows = spark.createDataFrame([(1, "é a@b.co +1 (706) 555-3138", 1), (1, None, 1), (2, "", 1)], "doc_id long, text string, found int")
     got = sorted((tuple(map(tuple, r["found"])) for r in pii.find_pii(rows).collect()), key=len)
@@ -249,6 +263,52 @@ def test_pages_keep_formulas_and_linked_text_and_drop_what_is_hidden():
     assert html_text.texts(["<div>" * 20000 + "</p>" * 20000], html_text.fit()) == [""]
 
 
+def _site(inner):
+    return f'<html><body><nav class="menu"><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav>{inner}<footer>&copy; 2024 Site</footer></body></html>'
+
+
+PARAGRAPHS = [f"Paragraph number {i} of this article says a few things about rivers. It goes on like this for quite a while, and then ends." for i in range(6)]
+
+
+@pytest.mark.parametrize("open_, close", [('<div class="z3">', "</div>"), ("<div>", "</div>"), ('<div class="thread"><div class="post">', "</div></div>"), ('<section id="q77">', "</section>")])
+def test_articles_without_a_name_are_found(open_, close):
+    got = html_text.texts([_site(f"{open_}<h1>Title of it</h1><p>{PARAGRAPHS[0]}</p><p>{PARAGRAPHS[1]}</p>{close}")], html_text.fit())[0].split("\n")
+    assert got[-2:] == PARAGRAPHS[:2] and "Home" not in got and not any("Site" in x for x in got)
+
+
+@pytest.mark.parametrize("name", ["related-history", "share-price", "alert-info", "warning-signs", "legal-history"])
+def test_parts_of_articles_stay_whatever_their_names(name):
+    inner = f'<article><h1>T</h1><p>{PARAGRAPHS[0]}</p><div class="{name}"><p>{PARAGRAPHS[1]}</p><p>{PARAGRAPHS[2]}</p></div><section class="{name}"><p>{PARAGRAPHS[3]}</p></section><p>third &lt;tag&gt; &copy; y</p><p>{PARAGRAPHS[4]}</p></article>'
+    got = html_text.texts([_site(inner)], html_text.fit())[0].split("\n")
+    assert [x for x in got if x.startswith("Para")] == PARAGRAPHS[:5] and "third <tag> © y" in got
+
+
+def test_sources_stay_and_comments_go():
+    comments = f'<div class="comments"><p>{PARAGRAPHS[3]}</p><p>{PARAGRAPHS[4]}</p></div>'
+    inner = f"<article><h1>T</h1><p>{PARAGRAPHS[0]}</p><p>{PARAGRAPHS[1]}</p><h2>Sources</h2><ul><li><a href=1>A study of things</a></li><li><a href=2>Another study, 2020</a></li></ul>{comments}</article>"
+    got = html_text.texts([_site(inner)], html_text.fit())[0].split("\n")
+    assert got == ["T", *PARAGRAPHS[:2], "Sources", "A study of things", "Another study, 2020"]
+
+
+@pytest.mark.parametrize("page", ["<div hidden>" * 50_000 + "x", "<div hidden>x</div>" * 50_000, "<b hidden " * 100_000, "<p hidden>a<div hidden>" * 25_000 + "</div>" * 9])
+def test_one_long_page_takes_seconds(page):
+    model, began = html_text.fit(), time.time()
+    html_text.texts([page], model)
+    assert time.time() - began < 20
+
+
+def test_frames_with_names_that_were_never_seen():
+    """Their names are words of another language; tags, links and what they hold tell them apart."""
+    names = {"nav": "navi wegweiser", "header": "kopfzeile", "footer": "fusszeile", "aside": "randspalte", "div": "werbung anzeige", "notice": "hinweis", "form": "anmeldung", "comment": "kommentare lesermeinung", "share": "teilen"}
+    right = total = 0
+    for source in html_text.labelled_pages(100, seed=4, names=names):
+        page = html_text.Page(source, marked=True)
+        found = set(html_text.texts([source], html_text.fit())[0].split("\n"))
+        right += sum((t in found) == bool(page.label[i]) for i, t in zip(page.leaves, page.texts))
+        total += len(page.leaves)
+    assert right / total > 0.95, right / total
+
+
 def test_accuracy_on_generated_pages_that_were_not_learned():
     right = total = 0
     for source in html_text.labelled_pages(60, seed=99):
@@ -259,6 +319,14 @@ def test_accuracy_on_generated_pages_that_were_not_learned():
     assert right / total > 0.95
 
 
+def test_query_of_pages(spark, tmp_path):
+    rows = [(1, "u", _site(f"<article><h1>Straße 🙂</h1><p>{PARAGRAPHS[0]}</p></article>")), (1, None, None), (None, "v", ""), (2, "w", "<p")]
+    spark.createDataFrame([(*r, "clash", 7) for r in rows], "page_id long, url string, html string, text string, n_chars int").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, html_text.op10_html_text(spark, str(tmp_path)).collect()), key=str)
+    text = "Straße 🙂\n" + PARAGRAPHS[0]
+    assert got == sorted([(1, "u", text, len(text)), (1, None, "", 0), (None, "v", "", 0), (2, "w", "", 0)], key=str)
+
+
 def test_query_of_personal_data(spark, tmp_path):
     docs = [(1, "é a@b.co +1 (706) 555-3138 and 10.0.0.1"), (2, None), (2, ""), (3, "ann (at) firm dot xyz"), (3, "ann (at) firm dot xyz"), (None, "4111 1111 1111 1111 " * 3000)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
