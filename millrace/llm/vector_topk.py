@@ -6,11 +6,11 @@ greater inner product is a smaller Euclidean distance, so a metric tree can sear
 
 The tree has two levels of routing objects over leaf pages. Routing objects come from a sample of bounded size
 (`SAMPLE` rows); every row is then dealt to its nearest one. Nodes keep covering radii, and all entries keep the
-distance to their parent. A large leaf, one full of equal vectors included, is cut into pages of about `PAGE`
-entries. A query goes through the leaves in order of the least possible distance, in rounds: its nearest leaf first,
-then four times as many in each further round, each round with the bound that the k-th best so far gives.
-|d(q,parent) - d(child,parent)| - radius spares distances to nodes, and the same difference spares inner products
-within a page. Visits are rows (query, page), joined with the queries and pages in Spark and searched in groups of
+distance to their parent. A large leaf is cut into rings by that distance, and a ring into pages of about `PAGE` entries;
+a ring knows the least and greatest distance that it holds. A query goes through the leaves in order of the least
+possible distance, in rounds: its nearest leaf first, then `GROWTH` times as many in each further round, each round with
+the bound that the k-th best so far gives. |d(q,parent) - d(child,parent)| - radius spares distances to nodes, the same
+difference spares whole rings of a leaf, and inner products within a page. Visits are rows (query, page), joined with the queries and pages in Spark and searched in groups of
 bounded size; nothing but the sample and the routing objects goes through the driver.
 
 Vectors that are null or hold null or non-finite components, and rows with a null id, take no part. Whole numbers and
@@ -36,7 +36,9 @@ BLOCK = 512
 #: Slack of distances, relative to the largest one, against rounding; of squared ones.
 SLACK, SQUARED_SLACK = 1e-9, 1e-12
 #: How many times as many leaves each round of a search visits.
-GROWTH = 4
+GROWTH = 16
+#: The most rings of a leaf.
+RINGS = 64
 
 
 def integers(rows: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -78,7 +80,8 @@ class Tree:
         self.parent = d.argmin(1)
         self.parent_distance = d.min(1)
         self.radius = np.zeros(len(self.leaf))
-        self.pages = np.zeros(len(self.leaf), np.int64)
+        self.entries = np.zeros(len(self.leaf), np.int64)
+        self.rings: dict[int, np.ndarray] = {}  # by leaf: least and greatest distance, first page and number of pages of each ring
 
     @staticmethod
     def _spread(points: np.ndarray, count: int) -> np.ndarray:
@@ -98,9 +101,9 @@ class Tree:
     def settle(self, radius: dict[int, tuple[float, int]]) -> "Tree":
         """Takes over the covering radius and number of entries of each leaf."""
         for node, (r, n) in radius.items():
-            self.radius[node], self.pages[node] = r, -(-n // PAGE)
+            self.radius[node], self.entries[node] = r, n
         self.inner_radius = np.zeros(len(self.inner))
-        full = self.pages > 0
+        full = self.entries > 0
         np.maximum.at(self.inner_radius, self.parent[full], (self.parent_distance + self.radius)[full])
         return self
 
@@ -113,12 +116,19 @@ class Tree:
             if inner[i] - self.inner_radius[i] > bound + slack:
                 break
             spared = np.abs(inner[i] - self.parent_distance) - self.radius > bound + slack
-            for n in np.flatnonzero((self.parent == i) & (self.pages > 0) & ~spared):
+            for n in np.flatnonzero((self.parent == i) & (self.entries > 0) & ~spared):
                 d = float(np.sqrt(((self.leaf[n] - q) ** 2).sum()))
                 if d - self.radius[n] <= bound + slack:
                     out.append((d - self.radius[n], int(n), d))
         return [(n, d) for _, n, d in sorted(out)]
 
+    def pages(self, node: int, d: float, bound: float) -> np.ndarray:
+        """The pages of a leaf at distance d whose rings may hold something within the bound."""
+        lo, hi, first, count = self.rings[node].T
+        slack = SLACK * (1 + d + (bound if np.isfinite(bound) else 0))
+        some = np.flatnonzero((lo <= d + bound + slack) & (hi >= d - bound - slack))
+        return np.concatenate([np.arange(first[i], first[i] + count[i]) for i in some] or [np.zeros(0)]).astype(np.int64)
+
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """The places of the k highest scores, ties to smaller ids."""
@@ -197,8 +207,21 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "
     leaves = common.staged(common.mapped(every.select("vec_id", "v"), deal, "node int, parent double, vec_id long, v array<long>"))
     stats = leaves.groupBy("node").agg(F.max("parent").alias("radius"), F.count("*").alias("n")).collect()
     tree.settle({r["node"]: (r["radius"], r["n"]) for r in stats})
-    count = F.create_map(*(F.lit(x) for r in stats for x in (r["node"], -(-r["n"] // PAGE))))[F.col("node")]
-    pages = leaves.withColumn("page", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), count).cast("int"))
+    # a row for each leaf, then for each of its rings: LEAVES * RINGS at most
+    spark = rows.sparkSession
+    sizes = spark.createDataFrame([(r["node"], float(r["radius"]), min(RINGS, -(-r["n"] // PAGE))) for r in stats], "node int, radius double, rings int")
+    ring = F.when(F.col("radius") > 0, F.least(F.floor(F.col("parent") / F.col("radius") * F.col("rings")).cast("int"), F.col("rings") - 1)).otherwise(F.lit(0))
+    ringed = leaves.join(F.broadcast(sizes), "node").withColumn("ring", ring).drop("radius", "rings")
+    found = ringed.groupBy("node", "ring").agg(F.min("parent").alias("lo"), F.max("parent").alias("hi"), F.count("*").alias("n")).orderBy("node", "ring").collect()
+    firsts, total = [], {}
+    for r in found:
+        first, own = total.get(r["node"], 0), -(-r["n"] // PAGE)
+        firsts.append((r["node"], r["ring"], first, own))
+        total[r["node"]] = first + own
+        tree.rings.setdefault(r["node"], []).append((r["lo"], r["hi"], first, own))
+    tree.rings = {node: np.array(x) for node, x in tree.rings.items()}
+    dealt = F.broadcast(spark.createDataFrame(firsts, "node int, ring int, first int, own int"))
+    pages = ringed.join(dealt, ["node", "ring"]).withColumn("page", (F.col("first") + F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("own"))).cast("int")).drop("ring", "first", "own")
     ready = rows.sparkSession.sparkContext.broadcast(tree)
     schema = "query_id long, node int, page int, d double, reach double, block int"
 
@@ -212,7 +235,7 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "
                 for i, (own, floor, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)))):
                     size = (q[i] ** 2).sum() + most
                     reach = np.inf if floor is None else float(np.sqrt(max(size - 2 * floor, 0) + SQUARED_SLACK * size))
-                    rows_ = [(n, p, d) for n, d in tree.visit(np.append(q[i], 0.0), reach)[lo:hi] for p in range(int(tree.pages[n]))]
+                    rows_ = [(n, p, d) for n, d in tree.visit(np.append(q[i], 0.0), reach)[lo:hi] for p in tree.pages(n, d, reach).tolist()]
                     for at in range(0, len(rows_), 4096):
                         part = list(zip(*rows_[at : at + 4096]))
                         m = len(part[0])
