@@ -89,8 +89,8 @@ def exactly(blocks: list[Block], centroids: np.ndarray) -> tuple[list[Block], np
 PAGES = "ids array<bigint>, blocks array<struct<first: int, width: int, entries: array<bigint>, codes: array<int>>>"
 
 
-def pages(vectors: DataFrame, dims: int) -> DataFrame:
-    """The encoded pages of (vec_id, v)."""
+def pages(vectors: DataFrame, dims: int, size: int) -> DataFrame:
+    """The encoded pages of (vec_id, v), of up to `size` vectors."""
 
     def page(ids: pa.Array, v: np.ndarray) -> pa.RecordBatch:
         blocks = encode(v)
@@ -101,12 +101,12 @@ def pages(vectors: DataFrame, dims: int) -> DataFrame:
     def run(batches):
         ids, parts, n = [], [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, PAGE):
-                part = batch.slice(lo, PAGE)
+            for lo in range(0, batch.num_rows, size):
+                part = batch.slice(lo, size)
                 ids.append(part.column(0))
                 parts.append(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
                 n += part.num_rows
-                if n >= PAGE:
+                if n >= size:
                     yield page(pa.concat_arrays(ids), np.concatenate(parts))
                     ids, parts, n = [], [], 0
         if n:
@@ -157,7 +157,7 @@ def centroid_clustering(rows: DataFrame, k: int = 8, rounds: int = 10, dims: int
     first = vectors.where("vec_id is not null").withColumn("draw", draw).orderBy("draw", "v").limit(k).collect()
     if not first:
         return vectors.select("vec_id", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance")).where("false"), np.zeros((0, dims), object)
-    encoded = common.staged(pages(vectors, dims))
+    encoded = common.staged(pages(vectors, dims, PAGE))
     centroids = np.array([r["v"] for r in first], object)
     for _ in range(rounds):
         after = moved(encoded, centroids)

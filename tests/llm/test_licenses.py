@@ -3,9 +3,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from millrace.llm import common, licenses
+from millrace.llm import common, decontamination, licenses
 
 
 def split(text):
@@ -45,9 +47,8 @@ def texts(seed):
     return out
 
 
-@pytest.mark.parametrize("seed,step", [(1, 1 << 19), (2, 700)])
-def test_every_block_is_found(spark, monkeypatch, seed, step):
-    monkeypatch.setattr(common, "STEP_BYTES", step)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_block_is_found(spark, seed):
     docs = [(i if i % 9 else None, t) for i, t in enumerate(texts(seed))]
     frame = spark.createDataFrame([(*d, 1, "x") for d in [*docs, docs[3]]], "doc_id long, text string, n_words int, label string")
     got = [(r["doc_id"], r["n_words"], [tuple(x) for x in r["phrases"]], [tuple(x) for x in r["blocks"]]) for r in licenses.license_scan(frame).collect()]
@@ -55,6 +56,21 @@ def test_every_block_is_found(spark, monkeypatch, seed, step):
     assert sorted(got, key=str) == sorted(want, key=str) and sum(len(b) for _, _, _, b in got) > 30
 
 
+@pytest.mark.parametrize("seed,step", [(3, 1 << 19), (4, 50), (5, 7)])
+def test_words_over_the_ends_of_pieces(monkeypatch, seed, step):
+    """As tasks do it, with long texts in pieces of some bytes, and words in any order of rarity."""
+    monkeypatch.setattr(common, "STEP_BYTES", step)
+    docs = texts(seed)
+    word, at = decontamination.words(*common.utf8(pa.array(docs, pa.string())))
+    t = licenses.Templates(licenses.TEMPLATES, 80)
+    t.order(np.random.default_rng(seed).permutation(len(t.words)))
+    got = {}
+    for row, k, first, end, shared in zip(*(x.tolist() for x in licenses.blocks_of(word, at, t))):
+        got.setdefault(row, []).append((t.labels[k], first, end - 1, shared, int(t.size[k])))
+    assert got == {i: b for i, x in enumerate(docs) if (b := plain(x)[2])}
+    assert licenses.places_of(word, at, decontamination.words_of(["mit license"])[0]).tolist() == [at[i] + p for i, x in enumerate(docs) for label, p in plain(x)[1] if label == "mit"]
+
+
 def test_other_thresholds_and_templates(spark):
     frame = spark.createDataFrame(list(enumerate(texts(5))), "doc_id long, text string")
     mine = (("one", "w1"), ("none", " "), ("some", "w1 w2 w3 the of"), ("some", "any person free of charge"))
