@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from millrace.functions.tables import register
@@ -62,6 +66,20 @@ def arrow_map(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "value").mapInArrow(run, "event_id long, twice double")
 
 
+@R.query("SELECT event_type, count(*) AS n, CAST(max(event_id) - min(event_id) AS BIGINT) AS span FROM events GROUP BY event_type")
+def grouped_batches(spark, sf_dir):
+    """A grouped map that takes a group batch by batch, so that no group is held whole."""
+
+    def spans(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, least, most = 0, None, None
+        for batch in batches:
+            own = pc.min_max(batch.column("event_id")).as_py()
+            n, least, most = n + batch.num_rows, min(own["min"], own["min"] if least is None else least), max(own["max"], own["max"] if most is None else most)
+        yield pa.RecordBatch.from_pydict({"event_type": [key[0].as_py()], "n": [n], "span": [most - least]})
+
+    return table(spark, sf_dir, "events").select("event_type", "event_id").groupBy("event_type").applyInArrow(spans, "event_type string, n long, span long")
+
+
 @R.query("SELECT n_nationkey, unnest(string_split(n_name, '_')) AS part FROM nation")
 def python_table_function(spark, sf_dir):
     """A table function in Python, joined laterally."""
