@@ -100,3 +100,10 @@ def url_parts(spark, sf_dir):
 @R.query("SELECT doc_id, length(text) AS n, lang AS lang FROM (SELECT doc_id, text, CASE lang WHEN 'en' THEN 'E500' WHEN 'fr' THEN 'F600' WHEN 'de' THEN 'D000' ELSE 'E200' END AS lang FROM documents)")
 def soundex(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"), F.soundex("lang").alias("lang"))
+
+
+@R.query("""SELECT s_suppkey, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(s_name, ''), lambda c: CAST(unicode(c) AS BIGINT))),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc FROM supplier""")
+def checksums(spark, sf_dir):
+    """Cyclic checksums; in SQL bit by bit."""
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.crc32(F.col("s_name").cast("binary")).alias("crc"))
