@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,9 +151,10 @@ def dots(v: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def searched(visits: DataFrame, asked: DataFrame, pages: DataFrame, width: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the best k of each visit (query_id, node, page, block, d, reach) in its page.
+    """(query_id, vec_id, score): the best k of each visit (query_id, node, page, block, d, reach, floor) in its page.
 
-    d is the query's distance to the node's routing object, reach how far from the query a result may be.
+    d is the query's distance to the node's routing object, reach how far from the query a result may be, and floor the
+    k-th best score so far: what is below it comes to nothing, so it isn't returned.
     """
     needed = visits.select(F.col("node").alias("n"), F.col("page").alias("p"), F.col("block").alias("b")).distinct()
     entries = needed.join(pages, (F.col("n") == F.col("node")) & (F.col("p") == F.col("page"))).select("n", "p", "b", "parent", "vec_id", "v")
@@ -163,12 +165,13 @@ def searched(visits: DataFrame, asked: DataFrame, pages: DataFrame, width: int,
         v, q = matrix(page["v"], width)[order], matrix(queries["q"], width)
         out: list[tuple[np.ndarray, ...]] = []
         d, reach, own = queries["d"].to_numpy(), queries["reach"].to_numpy(), queries["query_id"].to_numpy()
+        floor = pc.fill_null(queries["floor"], -(2**63)).to_numpy()
         slack = SLACK * (1 + d + np.where(np.isfinite(reach), reach, 0))
         lo, hi = np.searchsorted(parent, d - reach - slack), np.searchsorted(parent, d + reach + slack, "right")
         for i in np.flatnonzero(hi > lo):
             part = slice(lo[i], hi[i])
             scores = dots(v[part], q[i])
-            use = np.flatnonzero(ids[part] != own[i])
+            use = np.flatnonzero((ids[part] != own[i]) & (scores >= floor[i]))
             at = use[best(ids[part][use], scores[use], k)]
             out.append((np.full(len(at), own[i]), ids[part][at], scores[at]))
         cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
@@ -223,7 +226,7 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "
     dealt = F.broadcast(spark.createDataFrame(firsts, "node int, ring int, first int, own int"))
     pages = ringed.join(dealt, ["node", "ring"]).withColumn("page", (F.col("first") + F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("own"))).cast("int")).drop("ring", "first", "own")
     ready = rows.sparkSession.sparkContext.broadcast(tree)
-    schema = "query_id long, node int, page int, d double, reach double, block int"
+    schema = "query_id long, node int, page int, d double, reach double, floor long, block int"
 
     def visits(lo: int, hi: int):
         """Of queries (query_id, q, floor): the pages of their lo-th to hi-th nearest leaves, as far as they are within reach."""
@@ -241,8 +244,8 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "
                         m = len(part[0])
                         yield pa.RecordBatch.from_arrays([
                             pa.array([own] * m, pa.int64()), pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()),
-                            pa.array(part[2], pa.float64()), pa.array([reach] * m, pa.float64()), pa.array([block] * m, pa.int32()),
-                        ], names=["query_id", "node", "page", "d", "reach", "block"])
+                            pa.array(part[2], pa.float64()), pa.array([reach] * m, pa.float64()), pa.array([floor] * m, pa.int64()), pa.array([block] * m, pa.int32()),
+                        ], names=["query_id", "node", "page", "d", "reach", "floor", "block"])
 
         return run
 
