@@ -81,6 +81,7 @@ def test_jaccard_chains_of_growing_texts(spark, seed):
 def test_jaccard_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_components(none).count() == 0
+    assert jaccard_join.stage(spark, none, SF).count() == 0
     apart = spark.createDataFrame([(1, "a b c d"), (2, "e f g h"), (3, None)], "doc_id long, text string")
     assert sorted(map(tuple, jaccard_join.jaccard_components(apart).collect())) == [(1, 1, 1), (2, 1, 2), (3, 0, 3)]
 

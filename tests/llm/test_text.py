@@ -438,6 +438,21 @@ def test_bpe_stage_is_the_library(spark, odd, tiktoken_encoding):
         sha = [hashlib.sha256(x).hexdigest() for x in (np.array(ids, "<u4").tobytes(), (r["text"] or "").encode())]
         want.append((r["doc_id"], len(ids), ids, *sha))
     assert sorted(got, key=str) == sorted(want, key=str)
+    assert byte_bpe.stage(spark, odd.limit(0), "").count() == 0 and byte_bpe.digests(odd.limit(0)).count() == 0
+
+
+def test_query_of_token_counts_and_bpe(spark, tmp_path, tiktoken_encoding):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=common.tokenizer_path("piece_bpe_32k.model"))
+    texts = [*ODD, "word " * 4200]
+    rows = [(i if i % 4 else None, t) for i, t in enumerate(texts)]
+    spark.createDataFrame([(*r, True) for r in rows], "doc_id long, text string, over_limit boolean").write.parquet(str(tmp_path / "documents.parquet"))
+    n = [(str(i), len((t or "").encode()), k := len(model.encode(t or "")), k > 4096) for i, t in rows]
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.op6_token_counts(spark, str(tmp_path)).collect()) == sorted(n)
+    assert any(x[3] for x in n)
+    want = [(str(i), len(ids := tiktoken_encoding.encode_ordinary(t or "")), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows]
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.op2_byte_bpe(spark, str(tmp_path)).collect()) == sorted(want)
 
 
 def plain_features(text):
@@ -497,3 +512,4 @@ def test_quality_model_is_that_of_plain_loops(spark):
     got = [(str(r["doc_id"]), r["own"]) for r in quality.score(spark.createDataFrame([(*a, "clash") for a in asked], "doc_id long, text string, quality string"), model).withColumnRenamed("score", "own").collect()]
     assert [d for d, _ in sorted(got)] == [d for d, _ in sorted(want)] and np.allclose([s for _, s in sorted(got)], [s for _, s in sorted(want)], atol=1e-4)
     assert max(s for _, s in got) > 0.7 and min(s for _, s in got) < 0.3
+    assert quality.score(spark.createDataFrame([], "doc_id long, text string, quality string"), model).count() == 0
