@@ -513,3 +513,26 @@ def test_quality_model_is_that_of_plain_loops(spark):
     assert [d for d, _ in sorted(got)] == [d for d, _ in sorted(want)] and np.allclose([s for _, s in sorted(got)], [s for _, s in sorted(want)], atol=1e-4)
     assert max(s for _, s in got) > 0.7 and min(s for _, s in got) < 0.3
     assert quality.score(spark.createDataFrame([], "doc_id long, text string, quality string"), model).count() == 0
+
+
+@pytest.mark.parametrize("part", [1, 2, 7, 50])
+def test_ngrams_and_tokens_of_long_texts_are_those_of_their_pieces(monkeypatch, tiktoken_encoding, part):
+    """What tasks do with texts that are longer than a piece, with pieces of a few characters."""
+    rng = random.Random(part)
+    texts = [*ODD[:6], *("".join(rng.choice("abé Z,.\n 日") for _ in range(rng.randint(0, 120))) for _ in range(30))]
+
+    def counted():
+        out = set()
+        for piece in language_id.pieces(texts):
+            for row, bucket in language_id.ngrams(*piece):
+                for pair in zip(row.tolist(), bucket.tolist()):
+                    out.add((*pair, sum(x[:2] == pair for x in out)))
+        return out
+
+    whole, code = counted(), byte_bpe.Coder(common.tokenizer_path("byte_bpe_multi_50k.tiktoken"), byte_bpe.default_pattern())
+    monkeypatch.setattr(language_id, "PART", part)
+    monkeypatch.setattr(byte_bpe, "PART", part)
+    assert counted() == whole and whole
+    for t in filter(None, texts):
+        ids = np.frombuffer(code.encode(t), "<u4").tolist()
+        assert ids == tiktoken_encoding.encode_ordinary(t) and code.decode(np.array(ids, "<u4").tobytes()) == t.encode()
