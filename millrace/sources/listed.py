@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,10 +19,14 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import types as T
 
+#: Spark plans a stream's source in a Python process of its own, which gets no packages; so this module goes by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rows of a file, and characters up to which texts have statistics.
 ROWS, LONGEST = 1 << 18, 256
 MANIFEST = "_manifest.json"

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import contextlib
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Spark asks a Python process of its own, which gets no packages, about the state's schema; so this module goes by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 

@@ -1,6 +1,9 @@
 """Stateful streaming operators over several runs: timers, restart, rows out of order, state that expires."""
 
 import datetime as dt
+import os
+import subprocess
+import sys
 import time
 
 import pytest
@@ -70,3 +73,18 @@ def test_a_repeated_name_is_an_error():
         r.query()(query)
     with pytest.raises(ValueError):
         registry.joined([r, r])
+
+
+def test_python_processes_need_no_path(tmp_path):
+    """As an application that is started elsewhere runs it: only the driver can import the package."""
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from millrace import plans, session
+spark = session.local(2, 2)
+for name in ("stream_visits", "listed_stream", "python_table_sessions"):
+    print(name, plans.QUERIES[name](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert [line.split()[0] for line in done.stdout.splitlines() if line.split()[1:] and line.split()[1].isdigit()] == ["stream_visits", "listed_stream", "python_table_sessions"], done.stderr[-2000:]
