@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +33,8 @@ def truncated(unit: str, c: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0 or null."""
     return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def logarithm(c: Column, log: Callable[[Column], Column] = F.ln) -> Column:
+    """ln or log10 as in floating point: minus infinity of 0 and NaN below it, where Spark's own give null."""
+    return F.when(c == 0, F.lit(float("-inf"))).when(c < 0, F.lit(float("nan"))).otherwise(log(c))

@@ -60,3 +60,24 @@ def test_partitioned_read_is_pruned(spark):
     rows = partitioned(session.table(spark, SF, "events"), "event_type").where("event_type = 'click'")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_type" in plan and len(rows.inputFiles()) > 1
+
+
+def odd_events(folder, rows):
+    """A folder with events of one's own (event_id, minute, user_id, event_type, value), and a database over it."""
+    import datetime as dt
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    ids, minutes, users, kinds, values = zip(*rows)
+    times = pa.array([None if m is None else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m) for m in minutes], pa.timestamp("us"))
+    columns = {"event_id": pa.array(ids, pa.int64()), "ts": times, "user_id": pa.array(users, pa.int64()), "event_type": pa.array(kinds, pa.string()), "value": pa.array(values, pa.float64())}
+    pq.write_table(pa.table(columns), folder / "events.parquet")
+    return database(str(folder))
+
+
+def test_numbers_of_zero_and_below(spark, tmp_path):
+    con = odd_events(tmp_path, [(i, i, i, "click", v) for i, v in enumerate([0.0, -1.0, -7.5, 1.0, 50.0, None, 2.25])])
+    same(plans.QUERIES["numbers"], plans.ORACLE_SQL["numbers"], spark, str(tmp_path), con)
+    got = [r["ln"] for r in plans.QUERIES["numbers"](spark, str(tmp_path)).orderBy("event_id").collect()]
+    assert got[0] == float("-inf") and got[1] != got[1] and got[2] != got[2] and got[3] == 0 and got[5] is None
