@@ -55,8 +55,13 @@ def quantiles(spark, sf_dir):
 @R.query("""SELECT user_id, arg_max(event_id, value) AS top_event, arg_min(event_id, ts) AS first_event, bool_or(event_type = 'error') AS failed, bool_and(value < 480) AS modest,
     array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds FROM events GROUP BY user_id""")
 def arg_max_and_sets(spark, sf_dir):
+    """Of a user's equal values or times the event with the smallest id counts, the first of the table, in any partitioning;
+    events without an id don't count."""
+    known = F.col("event_id").isNotNull()
+    high = F.when(known & F.col("value").isNotNull(), F.struct("value", F.bitwise_not("event_id")))
+    early = F.when(known & F.col("ts").isNotNull(), F.struct("ts", "event_id"))
     return table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.max_by("event_id", "value").alias("top_event"), F.min_by("event_id", "ts").alias("first_event"), F.bool_or(F.col("event_type") == "error").alias("failed"),
+        F.max_by("event_id", high).alias("top_event"), F.min_by("event_id", early).alias("first_event"), F.bool_or(F.col("event_type") == "error").alias("failed"),
         F.bool_and(F.col("value") < 480).alias("modest"), F.concat_ws(",", F.array_sort(F.collect_set("event_type"))).alias("kinds"),
     )
 

@@ -81,3 +81,12 @@ def test_numbers_of_zero_and_below(spark, tmp_path):
     same(plans.QUERIES["numbers"], plans.ORACLE_SQL["numbers"], spark, str(tmp_path), con)
     got = [r["ln"] for r in plans.QUERIES["numbers"](spark, str(tmp_path)).orderBy("event_id").collect()]
     assert got[0] == float("-inf") and got[1] != got[1] and got[2] != got[2] and got[3] == 0 and got[5] is None
+
+
+def test_first_of_equal_values_and_no_nulls(spark, tmp_path):
+    rows = [(i, i // 20, i % 3, "click", float(i // 30 % 2)) for i in range(100)]
+    rows += [(None, -5, 0, "view", 900.0), (None, 5, 3, None, 1.0), (200, None, 4, "error", None), (201, 7, 5, "view", float("nan")), (202, 7, 5, "view", 9.0)]
+    con = odd_events(tmp_path, rows)
+    same(plans.QUERIES["arg_max_and_sets"], plans.ORACLE_SQL["arg_max_and_sets"], spark, str(tmp_path), con)
+    got = {r["user_id"]: (r["top_event"], r["first_event"]) for r in plans.QUERIES["arg_max_and_sets"](spark, str(tmp_path)).collect()}
+    assert got == {0: (30, 0), 1: (31, 1), 2: (32, 2), 3: (None, None), 4: (None, None), 5: (201, 201)}
