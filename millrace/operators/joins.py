@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 #: The largest side that is broadcast, by the optimizer's own size estimate.
 BROADCAST_BYTES = 64 << 20
 
+#: Rows of both sides that a task of a salted join sorts, on average.
+TASK_ROWS = 1 << 20
+
 
 def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if its estimated size is small enough; otherwise left to a shuffled join."""
@@ -47,11 +50,18 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
 
 
 def salted_join(large: DataFrame, small: DataFrame, on: list[str], salts: int, how: str = "inner") -> DataFrame:
-    """An equi-join (inner or left) for keys that hold much of the large side: each key is spread over `salts` tasks."""
+    """An equi-join (inner or left) for keys that hold much of the large side: each key is spread over `salts` tasks.
+
+    Both sides are counted, which for plain tables reads only the files' footers. Where spark.sql.shuffle.partitions would
+    give tasks of more than TASK_ROWS rows, there are as many tasks as the rows need, so their memory doesn't grow with the input.
+    """
     if how not in ("inner", "left"):
         raise ValueError("a salted join keeps whole results only as inner or left")
     a = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)))
     b = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    tasks = -(-(large.count() + salts * small.count()) // TASK_ROWS)
+    if tasks > int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        a, b = (x.repartition(tasks, *on, "_salt") for x in (a, b))
     return a.join(b, [*on, "_salt"], how).drop("_salt")
 
 

@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from millrace.operators import joins
 from millrace.operators.grouping import groups_frame, sessions, top_k
 from millrace.operators.joins import asof_join, interval_join, range_join, salted_join
 
@@ -58,3 +59,20 @@ def test_top_k_and_group_frames(spark):
     assert sorted((r["k"], r["x"]) for r in top_k(a, ["k"], [F.desc("x")], 2).collect() if r["x"]) == [("u", 3), ("u", 4)]
     got = groups_frame(a.where("k = 'u'"), ["k"], "x", 1, 0, F.sum("x"), "s").orderBy("x").collect()
     assert [r["s"] for r in got] == [2, 2, 5, 7]
+
+
+def test_tasks_of_a_salted_join_keep_their_size(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 50)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = spark.range(2000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("i"))
+        b = spark.range(0, 2000, 2).select((F.col("id") + 1).alias("k"), F.col("id").alias("v"))
+        for how in ("inner", "left"):
+            joined = salted_join(a, b, ["k"], 4, how)
+            sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+            assert len(sizes) > 60  # 6,000 rows of both sides with their copies: 120 tasks
+            got, want = (sorted(map(str, d.select("k", "i", "v").collect())) for d in (joined, a.join(b, "k", how)))
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
