@@ -107,3 +107,23 @@ def test_inequality_join_is_the_nested_loop(spark, monkeypatch, first, second):
     assert got == [(i, j) for i, x, y in left for j, u, v in right if None not in (x, u) and OPS[first](x, u) and (second is None or OPS[second](y, v))]
     assert "NestedLoop" not in joined._jdf.queryExecution().executedPlan().toString()
     assert inequality.inequality_join(a, b.limit(0), ("x", first, "u")).count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 16 << 20])
+def test_inequality_join_runs_in_spark_alone(spark, monkeypatch, small):
+    """Broadcast or not: no group goes to Python, and no task gets more than its share of the pairs."""
+    monkeypatch.setattr(inequality, "LEFT", 100)
+    monkeypatch.setattr(inequality, "RIGHT", 100)
+    monkeypatch.setattr(inequality, "BLOCK", 9)
+    monkeypatch.setattr(inequality, "PAIRS", 5)
+    monkeypatch.setattr(inequality, "SMALL", small)
+    a = spark.range(1500).select(F.col("id").alias("i"), (F.col("id") * 7 % 1000).alias("x"), (F.col("id") * 3 % 25).alias("u"))
+    b = spark.range(1200).select(F.col("id").alias("j"), (F.col("id") * 11 % 1000).alias("y"), (F.col("id") * 7 % 25).alias("v"), F.lit("w").alias("_x"))
+    joined = inequality.inequality_join(a, b, ("x", "<", "y"), ("u", ">", "v"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Pandas" not in plan and "NestedLoop" not in plan
+    tasks = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    i, j = np.arange(1500), np.arange(1200)
+    want = int(((i * 7 % 1000)[:, None] < (j * 11 % 1000))[(i * 3 % 25)[:, None] > (j * 7 % 25)].sum())
+    assert sum(tasks) == want and (small == 0 or max(tasks) < want / 5)
+    assert joined.where("x >= y or u <= v or _x <> 'w'").count() == 0 and joined.select("i", "j").distinct().count() == want
