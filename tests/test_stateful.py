@@ -11,7 +11,7 @@ import pytest
 from millrace.plans import registry
 from millrace.sources import scratch
 from millrace.streaming import finished
-from millrace.streaming.stateful import first_seen, rocksdb, visits
+from millrace.streaming.stateful import Visits, first_seen, rocksdb, visits
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -88,3 +88,56 @@ for name in ("stream_visits", "listed_stream", "python_table_sessions"):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert [line.split()[0] for line in done.stdout.splitlines() if line.split()[1:] and line.split()[1].isdigit()] == ["stream_visits", "listed_stream", "python_table_sessions"], done.stderr[-2000:]
+
+
+class Calls:
+    """A value and a list in place of Spark's state; every use of either or of a timer is a call to Spark."""
+
+    def __init__(self):
+        self.n, self.kept, self.timers = 0, {}, []
+
+    def getValueState(self, name, schema):
+        return self.state(name, None)
+
+    def getListState(self, name, schema):
+        return self.state(name, [])
+
+    def state(self, name, empty):
+        def call(f):
+            def counted(*args):
+                self.n += 1
+                return f(*args)
+
+            return counted
+
+        one = type("State", (), {})()
+        one.get = call(lambda: self.kept.get(name, empty))
+        one.exists = call(lambda: name in self.kept)
+        one.update = one.put = call(lambda v: self.kept.__setitem__(name, v))
+        one.appendValue = call(lambda v: self.kept.setdefault(name, []).append(v))
+        one.clear = call(lambda: self.kept.pop(name, None))
+        return one
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.n += 1
+        self.timers.remove(at)
+
+
+def test_calls_to_spark_do_not_follow_the_rows():
+    import pandas as pd
+
+    handle, processor = Calls(), Visits("u", 60)
+    processor.init(handle)
+    hour = 3600 * 1_000_000
+    rows = pd.DataFrame({"u": "a", "at_": [i * hour for i in range(500)], "mark_": [i % 2 for i in range(500)], "id_": range(500)})
+    list(processor.handleInputRows(("a",), iter([rows[:300], rows[300:]]), None))
+    assert handle.n <= 8 and handle.timers == [60_001]
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: 450 * 3_600_000})()
+    (out,) = processor.handleExpiredTimer(("a",), clock, None)
+    assert handle.n <= 16 and handle.timers[-1] == 450 * 3_600_000 + 60_001
+    assert list(out["number"]) == list(range(1, 451)) and list(out["marked"]) == [str(i) if i % 2 else "" for i in range(450)]
+    assert len(handle.kept["own"][2]) == 50 and handle.kept["marked"][0][1] == list(range(451, 500, 2))
