@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import byte_bpe, common, decontamination, jaccard_join, language_id, line_dedup
 
 STAGES = [
-    ("language ID", language_id.stage),
-    ("line dedup", line_dedup.stage),
-    ("n-gram Jaccard join", jaccard_join.stage),
-    ("benchmark decontamination", decontamination.stage),
-    ("byte-level BPE encoding and decoding", byte_bpe.stage),
+    ("language ID", common.tidy(language_id.stage)),
+    ("line dedup", common.tidy(line_dedup.stage)),
+    ("n-gram Jaccard join", common.tidy(jaccard_join.stage)),
+    ("benchmark decontamination", common.tidy(decontamination.stage)),
+    ("byte-level BPE encoding and decoding", common.tidy(byte_bpe.stage)),
 ]
 #: Learned models and digests have no SQL; tests hold every stage against brute force, plain loops or the library.
 ORACLE_SQL = None

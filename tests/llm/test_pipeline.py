@@ -26,3 +26,18 @@ def test_run_on_rows_with_nulls(spark, tmp_path):
     common.table(spark, SF, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert 0 < out.count() <= 30
+
+
+def test_a_stage_deletes_what_the_last_ones_staged(spark, tmp_path):
+    import os
+
+    there = lambda: {f for f in common._own.folders if os.path.exists(f.removeprefix("file:"))}
+    docs = common.table(spark, SF, "documents")
+    steps = [f for name, f in corpus_pipeline.STAGES if name in ("line dedup", "benchmark decontamination")]
+    steps[0](spark, docs, SF).write.parquet(str(tmp_path / "out"))
+    staged = there()
+    steps[1](spark, spark.read.parquet(str(tmp_path / "out")), SF).count()
+    assert staged and not any(os.path.exists(f.removeprefix("file:")) for f in staged)
+    again = steps[0](spark, docs, SF)  # not written: what it reads stays
+    n = again.count()
+    assert steps[1](spark, again, SF).count() <= n == again.count()
