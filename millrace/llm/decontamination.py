@@ -269,8 +269,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every row is decided by its own text: repeated rows and ids stay or go together, all columns come back as they were.
     """
-    found = decontaminate(common.packed(docs), common.table(spark, sf_dir, "benchmark"), "_doc.text", ("_doc",))
-    return found.where(F.size("items") == 0).select("_doc.*")
+    spark, digest = docs.sparkSession, F.unhex(F.sha2("text", 256))  # null texts have none and are never hit
+    items = common.table(spark, sf_dir, "benchmark")
+    # the index knows texts by their digests and is deleted when the hit ones are known, so it holds no second copy of the documents
+    hits = common.settled(spark, lambda: decontaminate(docs.select(digest.alias("digest"), "text"), items, keep=("digest",)).where(F.size("items") > 0).select("digest").distinct())
+    bits = spark.sparkContext.broadcast(common.bitmap(hits, "digest"))
+    if not bits.value.any():
+        return docs
+    keyed = docs.select(F.struct("*").alias("_doc"), digest.alias("digest"), F.xxhash64(digest).alias("key"))
+    # only rows that the filter takes in, the hit ones and few others, go through a join
+    rest = common.parted(keyed, "key", bits, True).join(hits, "digest", "left_anti")
+    return common.parted(keyed, "key", bits, False).select("_doc.*").unionByName(rest.select("_doc.*"))
 
 
 ORACLE_SQL = """

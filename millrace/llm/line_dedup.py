@@ -234,7 +234,7 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, edits: int = 1, exact: in
     at = F.struct(F.col("id").isNull().alias("last"), "id", "row", "number")
     first = common.staged(found.groupBy("line").agg(F.min(at).alias("at"), F.first("keys").alias("keys"), F.count("*").alias("n")))
     if edits:
-        near = common.staged(near_lines(docs, first, least)).withColumn("near", F.lit(True))
+        near = common.settled(docs.sparkSession, lambda: near_lines(docs, first, least)).withColumn("near", F.lit(True))
         bad = first.select("line", "at", "n").join(near, "line", "left").withColumn("near", F.coalesce("near", F.lit(False)))
     else:
         bad = first.select("line", "at", "n", F.lit(False).alias("near"))
@@ -249,22 +249,13 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
     exact: characters from which on equal lines are dropped; the same as least, if not given.
     """
     rows = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    drops = common.staged(dropped_lines(rows.select("id", "row", "text"), least, edits, exact))
+    drops = common.settled(docs.sparkSession, lambda: dropped_lines(rows.select("id", "row", "text"), least, edits, exact))
     bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(drops.select(F.xxhash64("id", "row").alias("key")), "key", hashed=True))
     keyed = rows.select("_doc", "id", "row", F.xxhash64("id", "row").alias("key"))
 
-    def dealt(touched: bool) -> DataFrame:
-        """The documents that may have lost lines, or the others."""
-
-        def run(batches):
-            for batch in batches:
-                yield batch.filter(pa.array(common.inside(bits.value, batch.column(3).to_numpy()) == touched))
-
-        return common.mapped(keyed, run, keyed.schema)
-
     drops = drops.select(F.col("id").alias("of"), F.col("row").alias("its"), "numbers")
     # the text goes through the shuffle once, inside _doc
-    joined = dealt(True).join(drops, F.col("id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("its")), "left").select("_doc", "numbers")
+    joined = common.parted(keyed, "key", bits, True).join(drops, F.col("id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("its")), "left").select("_doc", "numbers")
     out, arrow = common.schema_of(joined, ["_doc"], "n_lines long, n_dropped long, text string")
     field = docs.columns.index(text)
 
@@ -281,7 +272,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
 
     whole = F.col("_doc").getField(text)
     n_lines = F.coalesce(F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    same = dealt(False).select("_doc", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), whole.alias("text"))
+    same = common.parted(keyed, "key", bits, False).select("_doc", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), whole.alias("text"))
     return same.unionByName(common.mapped(joined, run, out))
 
 

@@ -41,3 +41,23 @@ def test_a_stage_deletes_what_the_last_ones_staged(spark, tmp_path):
     again = steps[0](spark, docs, SF)  # not written: what it reads stays
     n = again.count()
     assert steps[1](spark, again, SF).count() <= n == again.count()
+
+
+def test_decontamination_stages_no_text_and_deletes_its_index(spark, monkeypatch):
+    import os
+
+    made, plain = [], common.staged
+
+    def staged(df):
+        made.append(plain(df))
+        return made[-1]
+
+    monkeypatch.setattr(common, "staged", staged)
+    docs = common.table(spark, SF, "documents")
+    stage = dict(corpus_pipeline.STAGES)["benchmark decontamination"]
+    kept = stage(spark, docs, SF)
+    assert not any("text" in x.schema.simpleString() for x in made)
+    there = [f for f in common._own.folders if os.path.exists(f.removeprefix("file:"))]
+    assert len(made) == 2 and len(there) == 1 and made[1].columns == ["digest"] and made[1].count()
+    assert 0 < kept.count() < docs.count()
+
