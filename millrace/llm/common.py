@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import os
@@ -93,15 +94,24 @@ def staged(df: DataFrame) -> DataFrame:
     What was shuffled for it is deleted then and doesn't wait for the driver's garbage collection.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with settings(spark, {CLEANUP: "true"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the time of a block."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
     """What build returns, staged; the folders that build staged on the way are deleted then. They must not be read later."""
     outer, within = getattr(_own, "folders", []), getattr(_own, "within", False)

@@ -31,6 +31,10 @@ from millrace.llm import common
 #: Bytes of test texts in a block, about, and of documents in a shard.
 BLOCK_BYTES, SHARD_BYTES = 4 << 20, 2 << 20
 
+#: A row of the index is a whole shard, and Spark decodes a row group of nested columns at once: so row groups hold a few rows,
+#: however much a task reads or writes.
+SMALL_GROUPS = {"parquet.block.row.count.limit": "4"}
+
 _WORD = np.zeros(256, np.uint8)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = 1
 
@@ -73,7 +77,8 @@ def build_index(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
                 lists = [structs, pa.array(term[edge - 1].view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (edge, np.diff(position, prepend=0)))]
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], names=["docs", "terms", "ends", "gaps"])
 
-    return common.staged(common.mapped(rows, run, schema))
+    with common.settings(docs.sparkSession, SMALL_GROUPS):
+        return common.staged(common.mapped(rows, run, schema))
 
 
 def places(terms: np.ndarray, ends: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:

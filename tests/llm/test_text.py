@@ -236,6 +236,16 @@ def test_decontamination_cases(spark):
         assert decontamination.decontaminate(a, b).where(hit > 0).count() == 0
 
 
+def test_decontamination_index_has_few_rows_in_a_row_group(spark):
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, f"w{i} a b " * 150_000) for i in range(14)], "doc_id long, text string").coalesce(1)
+    index = decontamination.build_index(docs)
+    groups = [m.row_group(i).num_rows for f in index.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for i in range(m.num_row_groups)]
+    assert index.count() == sum(groups) > 6 and max(groups) <= 4
+    assert not any(spark.conf.get(key, None) for key in decontamination.SMALL_GROUPS)
+
+
 def test_decontamination_in_blocks_gives_the_same(spark, monkeypatch):
     docs, tests = (common.table(spark, "/root/testdata/sf0.001", x) for x in ("documents", "benchmark"))
     one = sorted(map(str, decontamination.decontaminate(docs, tests).select("doc_id", "n_words", "items", decontamination.hit_words()).collect()))
