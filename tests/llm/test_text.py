@@ -246,6 +246,20 @@ def test_decontamination_index_has_few_rows_in_a_row_group(spark):
     assert not any(spark.conf.get(key, None) for key in decontamination.SMALL_GROUPS)
 
 
+def test_decontamination_query_writes_small_row_groups(spark, monkeypatch, tmp_path):
+    import pyarrow.parquet as pq
+
+    texts = [(i, f"w{i} a b " * 150_000) for i in range(14)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a b w5 a"), (2, "b w7")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    made, plain = [], common.staged
+    monkeypatch.setattr(common, "staged", lambda df: made.append(plain(df)) or made[-1])
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.op5_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {i: (450_000, {5: 449_998, 7: 299_998}.get(i, 0), int(i in (5, 7))) for i in range(14)}
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in made[0].inputFiles()]
+    assert max(m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)) <= 4
+
+
 def test_decontamination_in_blocks_gives_the_same(spark, monkeypatch):
     docs, tests = (common.table(spark, "/root/testdata/sf0.001", x) for x in ("documents", "benchmark"))
     one = sorted(map(str, decontamination.decontaminate(docs, tests).select("doc_id", "n_words", "items", decontamination.hit_words()).collect()))
