@@ -38,3 +38,13 @@ def ratio(a: Column, b: Column) -> Column:
 def logarithm(c: Column, log: Callable[[Column], Column] = F.ln) -> Column:
     """ln or log10 as in floating point: minus infinity of 0 and NaN below it, where Spark's own give null."""
     return F.when(c == 0, F.lit(float("-inf"))).when(c < 0, F.lit(float("nan"))).otherwise(log(c))
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """A double rounded as in floating point: c * 10**digits to the next whole number, halves away from zero, and back.
+
+    Spark's own rounds the shortest decimal form of c, which is below a half where the product is one. What the product can't
+    hold, infinities and NaN stay as they are.
+    """
+    scale = F.lit(10.0**digits)
+    return F.when(F.abs(c) < 1e290, F.round(c * scale) / scale).otherwise(c)

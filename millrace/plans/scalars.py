@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import day_of_week, kurtosis_sample, logarithm, ratio, skewness_sample, truncated
+from millrace.functions import day_of_week, kurtosis_sample, logarithm, ratio, rounded, skewness_sample, truncated
 from millrace.plans.registry import Registry
 from millrace.session import table
 
@@ -43,8 +43,8 @@ def dates(spark, sf_dir):
 def numbers(spark, sf_dir):
     v = F.col("value")
     return table(spark, sf_dir, "events").select(
-        "event_id", F.round(logarithm(v), 9).alias("ln"), F.round(logarithm(v, F.log10), 9).alias("lg"), (F.floor(v) % 7).alias("m"), F.round(F.sqrt(v), 9).alias("root"), F.signum(v - 50).cast("long").alias("s"),
-        F.round(F.pow(v, F.lit(1.5)), 4).alias("p"), F.greatest(v, F.lit(20.0)).alias("g"), F.round(ratio(v, F.col("user_id") % 5), 6).alias("per"),
+        "event_id", rounded(logarithm(v), 9).alias("ln"), rounded(logarithm(v, F.log10), 9).alias("lg"), (F.floor(v) % 7).alias("m"), rounded(F.sqrt(v), 9).alias("root"), F.signum(v - 50).cast("long").alias("s"),
+        rounded(F.pow(v, F.lit(1.5)), 4).alias("p"), F.greatest(v, F.lit(20.0)).alias("g"), rounded(ratio(v, F.col("user_id") % 5), 6).alias("per"),
     )
 
 

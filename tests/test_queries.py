@@ -90,3 +90,12 @@ def test_first_of_equal_values_and_no_nulls(spark, tmp_path):
     same(plans.QUERIES["arg_max_and_sets"], plans.ORACLE_SQL["arg_max_and_sets"], spark, str(tmp_path), con)
     got = {r["user_id"]: (r["top_event"], r["first_event"]) for r in plans.QUERIES["arg_max_and_sets"](spark, str(tmp_path)).collect()}
     assert got == {0: (30, 0), 1: (31, 1), 2: (32, 2), 3: (None, None), 4: (None, None), 5: (201, 201)}
+
+
+def test_numbers_are_rounded_as_in_floating_point(spark, tmp_path):
+    """The products of these are halves, their decimal forms are less or more."""
+    values = [4515.94, 4412.92, 747.1370148793959, 644.3214750527901, 2.5, 0.5, -3.25, 9e18]
+    con = odd_events(tmp_path, [(i, i, i, "click", v) for i, v in enumerate(values)])
+    wanted = con.sql(plans.ORACLE_SQL["numbers"] + " ORDER BY event_id").fetchall()
+    got = plans.QUERIES["numbers"](spark, str(tmp_path)).orderBy("event_id").collect()
+    assert list(map(repr, map(tuple, got))) == list(map(repr, wanted))  # all digits, NaN too
