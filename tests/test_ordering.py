@@ -127,3 +127,14 @@ def test_inequality_join_runs_in_spark_alone(spark, monkeypatch, small):
     want = int(((i * 7 % 1000)[:, None] < (j * 11 % 1000))[(i * 3 % 25)[:, None] > (j * 7 % 25)].sum())
     assert sum(tasks) == want and (small == 0 or max(tasks) < want / 5)
     assert joined.where("x >= y or u <= v or _x <> 'w'").count() == 0 and joined.select("i", "j").distinct().count() == want
+
+
+def test_inequality_join_shuffles_a_left_row_once(spark, monkeypatch):
+    """Not once for each range on the right that it may match."""
+    monkeypatch.setattr(inequality, "LEFT", 100)
+    monkeypatch.setattr(inequality, "RIGHT", 100)
+    a, b = (spark.range(1000).select(F.col("id").alias(c), (F.col("id") * 7 % 1000).alias(x)) for c, x in (("i", "x"), ("j", "y")))
+    joined = inequality.inequality_join(a, b, ("x", "<", "y"))
+    assert joined.count() == 499_500
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert -1 < plan.find("explode(_to") < plan.find("Exchange RoundRobin")  # a plan's last steps stand first
